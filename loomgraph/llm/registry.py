@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, near_dedup, quality, secrets, token_counts
+from . import bpe, decontaminate, near_dedup, quality, secrets, token_counts, toxicity
 from .common import scratch_path, table
 
 
@@ -25,6 +25,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_columns(secrets.scan(table(spark, sf_dir, "documents"), scratch_path(spark, "secret-ledger")))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -44,6 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_near_duplicates": op1_near_duplicates,
         "op2_token_counts": op2_token_counts,
         "op3_secret_scan": op3_secret_scan,
+        "op4_toxicity": op4_toxicity,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_quality_rules": op8_quality_rules,
         "op10_decontamination": op10_decontamination,
