@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -50,6 +51,13 @@ def write_scratch(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete shuffle files of finished jobs now, not when
+    the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_paths(spark: SparkSession, *paths: str) -> None:
     """Remove scratch tables through Hadoop's file system layer."""
     jvm = spark.sparkContext._jvm

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, near_dedup, quality, secrets, token_counts, toxicity
+from . import bpe, decontaminate, near_dedup, quality, secrets, token_counts, toxicity, warc
 from .common import scratch_path, table
 
 
@@ -39,6 +39,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontaminate.digest_columns(found)
@@ -52,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": op4_toxicity,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_quality_rules": op8_quality_rules,
+        "op9_warc": op9_warc,
         "op10_decontamination": op10_decontamination,
     }
 
