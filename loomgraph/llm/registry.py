@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, near_dedup, quality, secrets, token_counts, toxicity, warc
+from . import bpe, decontaminate, near_dedup, quality, secrets, suffix_dedup, token_counts, toxicity, warc
 from .common import scratch_path, table
 
 
@@ -30,6 +30,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -54,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_counts": op2_token_counts,
         "op3_secret_scan": op3_secret_scan,
         "op4_toxicity": op4_toxicity,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_quality_rules": op8_quality_rules,
         "op9_warc": op9_warc,
