@@ -375,10 +375,8 @@ class EntityOperand(Operand):
         """Groups; every later verb works inside each group."""
 
         def project(rows: Rows) -> Rows:
-            df, keys = rows.df, []
-            for k, column in enumerate(_key_columns(rows, by)):
-                keys.append(f"__g{k}")
-                df = df.withColumn(keys[-1], column)
+            columns = {f"__{name}": column for name, column in _key_columns(rows, by).items()}
+            df, keys = rows.df.withColumns(columns), list(columns)
             return replace(rows, df=df, keys=tuple(keys), universe=df.select(*keys).distinct())
 
         return self._follow(type(self), project, [(ID, ID)], lambda _rows: (F.lit(True), None), grouped=True)
@@ -433,17 +431,17 @@ def _combine(tests: list[Column], mode: MatchMode) -> Column:
     return out
 
 
-def _key_columns(rows: Rows, by) -> list[Column]:
+def _key_columns(rows: Rows, by) -> dict[str, Column]:
     if isinstance(by, Discriminator.Attribute):
         present, val = rows.graph.attribute_of(rows.entity, by.name)
-        return [F.when(present, val.col), present]  # a missing key and Null are two groups
+        return {"group": F.when(present, val.col), "group_present": present}  # a missing key and Null are two groups
     if rows.entity == "edge":
         if by == Discriminator.SOURCE_NODE:
-            return [F.col(SRC)]
+            return {"group": F.col(SRC)}
         if by == Discriminator.TARGET_NODE:
-            return [F.col(DST)]
+            return {"group": F.col(DST)}
         if by == Discriminator.PARALLEL:
-            return [F.col(SRC), F.col(DST)]
+            return {"group_source": F.col(SRC), "group_target": F.col(DST)}
     raise QueryError(f"{rows.entity}s cannot be grouped by {by}")
 
 
@@ -582,10 +580,10 @@ class _Many(_Comparable):
 
     single: type
 
-    def _aggregate(self, aggregate: Callable[[Rows], tuple[Column, Kind]], keep_id: bool = False, on_empty=None):
+    def _aggregate(self, aggregate: Callable[[Rows], tuple[Column, Kind]], keep_id: bool = False, on_empty=None, before: Callable[[DataFrame], DataFrame] = lambda df: df):
         def project(rows: Rows) -> Rows:
             value, kind = aggregate(rows)
-            df = rows.df.groupBy(*map(quoted, rows.keys)).agg(value.alias("__a"), F.count(F.lit(1)).alias("__n"))
+            df = before(rows.df).groupBy(*map(quoted, rows.keys)).agg(value.alias("__a"), F.count(F.lit(1)).alias("__n"))
             if on_empty is not None and rows.universe is not None:
                 same = F.lit(True)
                 named = rows.universe.select(*[quoted(k).alias(f"__u{i}") for i, k in enumerate(rows.keys)])
@@ -635,7 +633,7 @@ class _Many(_Comparable):
         """One value, each as likely."""
         keep = self.role != "indices" and self.has_index
         pick = F.struct(F.col(ID).alias("k"), F.col(VALUE).alias("v")) if keep else F.col(VALUE)
-        return self._aggregate(lambda rows: (F.max_by(pick, F.rand()), rows.val.kind), keep)
+        return self._aggregate(lambda rows: (F.max_by(pick, "__r"), rows.val.kind), keep, before=lambda df: df.withColumn("__r", F.rand()))
 
     def is_max(self) -> None:
         self.ops.append(Extreme(True))
@@ -844,12 +842,12 @@ class InTree(Op):
 def result_frame(operand: Operand) -> DataFrame:
     """The rows of a returned operand with plain column names."""
     rows = operand.rows()
-    columns = [quoted(k).alias(f"group{i}" if len(rows.keys) > 1 and not k.endswith("h") else "group" if i == 0 else f"group{i}") for i, k in enumerate(rows.keys)]
+    columns = [quoted(k).alias(k.removeprefix("__")) for k in rows.keys]
     if operand.role == "entity":
         return rows.df.select(*columns, F.col(ID).alias("id"))
     if operand.role == "tree":
         return rows.df.select(*columns, F.col(ID).alias("id"), F.col(TREE).alias("attributes"))
-    if operand.role == "indices":
+    if isinstance(operand, IndicesOperand):
         return rows.df.select(*columns, rows.val.col.alias("id"))
     if rows.indexed and ID in rows.df.columns:
         return rows.df.select(*columns, F.col(ID).alias("id"), rows.val.col.alias("value"))
