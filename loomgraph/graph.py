@@ -34,7 +34,7 @@ class PropertyGraph:
 
     def __init__(self, spark: SparkSession, schema: S.Schema | None = None, plugins: list[Plugin] | None = None):
         self.spark = spark
-        self.schema = schema or S.Schema()
+        self.schema = schema.copy() if schema else S.Schema()
         self._plugins: list[Plugin] = []
         self._empty()
         for p in plugins or []:
