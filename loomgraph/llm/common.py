@@ -71,7 +71,35 @@ def text_or_empty(column: str):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) of the rows that have an id, null text as the empty text."""
+    own = docs[id_col]
+    return docs.where(own.isNotNull()).select(own.alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+
+
+def unused_prefix(df: DataFrame, prefix: str) -> str:
+    """A prefix that no column of ``df`` has, for columns that come and go."""
+    names = [c.lower() for c in df.columns]
+    while any(c.startswith(prefix) for c in names):
+        prefix += "_"
+    return prefix
+
+
 def pieces(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Slices of a batch, so that Python objects of few rows live at a time."""
     for start in range(0, batch.num_rows, rows):
         yield batch.slice(start, rows)
+
+
+def maybe_in(df: DataFrame, column: str, ids: DataFrame, log_bits: int = 23) -> DataFrame:
+    """Rows of ``df`` whose integer ``column`` may be among ``ids`` (column ``id``).
+
+    A bitmap of ``2**log_bits`` hashed ids is broadcast: at most ``2**log_bits / 64``
+    rows of two longs, whatever the input.  No row is lost; a fuller bitmap
+    only lets more rows through, so an exact join has to follow.
+    """
+    place = lambda c: F.xxhash64(c).bitwiseAND(2**log_bits - 1)
+    words = ids.select(F.shiftright(place("id"), 6).alias("_word"), F.expr("shiftleft(1L, cast(xxhash64(id) & 63 as int))").alias("_bits"))
+    words = words.groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
+    met = df.withColumn("_place", place(column)).withColumn("_word", F.shiftright("_place", 6)).join(F.broadcast(words), "_word")
+    return met.where(F.expr("(shiftright(_bits, cast(_place & 63 as int)) & 1) = 1")).select(*df.columns)
