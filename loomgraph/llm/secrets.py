@@ -10,8 +10,9 @@ Spans are ``kind:start:end`` in code points, end exclusive.  Kinds: the base
 ones ``assign``, ``access`` and ``hex``, and two of the method's own, ``pem``
 (private-key headers) and ``jwt``.
 
-Defined results: null text is empty and has no span; an empty table gives an
-empty table; copies share one ledger row; further columns are ignored.
+Defined results: null text is empty and has no span; rows without id are left
+out of a scan; an empty table gives an empty table; copies share one ledger
+row; further columns are ignored (kept by ``redact``).
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import id_and_text, text_or_empty, unused_prefix
 
 RULES_VERSION = "2"
 #: Fixed patterns; kind, pattern, least code points of a match.  Runs of one
@@ -78,7 +79,7 @@ def read_ledger(spark, path: str) -> DataFrame:
 def scan(docs: DataFrame, ledger_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Update the ledger; return id, blob and spans of every row."""
     spark = docs.sparkSession
-    base = docs.select(docs[id_col].alias("id"), text_or_empty(text_col).alias("text"))
+    base = id_and_text(docs, id_col, text_col)
     keyed = base.select("id", F.unhex(F.sha2("text", 256)).alias("blob"))
     known = read_ledger(spark, ledger_path).where(F.col("rule_version") == RULES_VERSION).select("blob")
     carriers = keyed.groupBy("blob").agg(F.min("id").alias("id")).join(known, "blob", "left_anti")
@@ -124,10 +125,12 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 def redact(docs: DataFrame, ledger_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All documents, secrets in their text replaced; other columns kept.
 
-    Only rows with findings are joined; a row is matched by id and blob, so
-    repeated ids with different texts stay apart.
+    Rows are matched by blob, so repeated ids with different texts stay apart
+    and rows without id are kept.
     """
-    found = scan(docs, ledger_path, id_col, text_col).where(F.size("spans") > 0).select("blob", "spans").groupBy("blob").agg(F.first("spans").alias("_spans"))
-    keyed = docs.withColumn("blob_", F.unhex(F.sha2(text_or_empty(text_col), 256)))
-    joined = keyed.join(found, keyed["blob_"] == found["blob"], "left").drop("blob", "blob_")
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(redacted(F.col(text_col), F.col("_spans")))).drop("_spans")
+    q = unused_prefix(docs, "_s")
+    found = scan(docs, ledger_path, id_col, text_col).where(F.size("spans") > 0).groupBy(F.col("blob").alias(f"{q}blob")).agg(F.first("spans").alias(f"{q}spans"))
+    joined = docs.withColumn(f"{q}blob", F.unhex(F.sha2(text_or_empty(text_col), 256))).join(found, f"{q}blob", "left")
+    spans = F.col(f"{q}spans")
+    out = joined.withColumn(text_col, F.when(spans.isNull(), F.col(text_col)).otherwise(redacted(F.col(text_col), spans)))
+    return out.select(*docs.columns)

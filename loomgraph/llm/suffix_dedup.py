@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_paths, pieces, release, text_or_empty, write_scratch
+from .common import drop_paths, id_and_text, pieces, release, write_scratch
 
 LENGTH = 100
 GRAM = 32
@@ -220,7 +220,11 @@ def _contexts(length: int):
             found.sort(key=lambda x: x[:2])
             seen: set[tuple[int, bytes]] = set()
             rows = []
+            before = None
             for i, start, hh, anchor, context in found:
+                if before == (i, start):  # a repeated row
+                    continue
+                before = (i, start)
                 if (anchor, context) in seen:
                     rows.append((None, i, start, None, None, start + len(context)))
                 else:
@@ -239,9 +243,15 @@ def _covered(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolls = Rolling(0), Rolling(1)
-        open_h, open_keys = None, set()
+        open_h, open_keys, last = None, set(), None
         for batch in batches:
             for part in pieces(batch, 8192):
+                keys = np.stack([part.column(k).to_numpy() for k in range(3)], axis=1)
+                ahead = np.concatenate((keys[:1] - 1 if last is None else last, keys[:-1]))
+                last = keys[-1:]
+                part = part.filter(pa.array((keys != ahead).any(axis=1)))  # without repeated rows
+                if not part.num_rows:
+                    continue
                 h, ids, start, anchor = (part.column(k).to_numpy() for k in range(4))
                 contexts = part.column(4).to_pylist()
                 raw = np.frombuffer(b"".join(contexts), np.uint8)
@@ -327,7 +337,7 @@ def covered_ranges(base: DataFrame, keyed: DataFrame, length: int = LENGTH) -> t
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_text: bool = False) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256, and with ``keep_text`` the
     kept text (bytes that no longer form a character are replaced)."""
-    base = docs.where(docs[id_col].isNotNull()).select(docs[id_col].cast("bigint").alias("id"), text_or_empty(text_col).alias("text"))
+    base = id_and_text(docs, id_col, text_col).select(F.col("id").cast("bigint").alias("id"), "text")
     keyed = base.select("id", F.sha2("text", 256).alias("sha"), F.xxhash64("text").alias("copy"), F.octet_length("text").cast("bigint").alias("n_bytes"))
     firsts, ranges = covered_ranges(base, keyed, length)
     listed = ranges.groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("r")).select("id", F.col("r.start").alias("starts"), F.col("r.stop").alias("stops"))

@@ -9,8 +9,9 @@ Copies of one text meet only in partial aggregates and in a join against a
 side with unique keys, which adaptive execution can split.
 
 Defined results: null and empty text count 0 tokens; an empty table gives an
-empty table and appends nothing; repeated ids are each returned; further
-columns of the input are ignored.
+empty table and appends nothing; repeated ids are each returned; a row that
+repeats id and text may be encoded again, which readers of the cache fold; rows without
+id are left out; further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, text_or_empty
+from .common import id_and_text, pieces
 
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens bigint"
 
@@ -65,8 +66,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     """
     spark = docs.sparkSession
     version = file_digest(tokenizer_path)
-    text = text_or_empty(text_col)
-    base = docs.select(docs[id_col].alias("id"), text.alias("text"))
+    base = id_and_text(docs, id_col, text_col)
     keyed = base.select("id", F.unhex(F.sha2("text", 256)).alias("digest"), F.octet_length("text").cast("bigint").alias("n_bytes"))
     known = read_cache(spark, cache_path).where(F.col("tokenizer_digest") == version).select(F.col("content_digest").alias("digest"))
     carriers = keyed.groupBy("digest").agg(F.min("id").alias("id")).join(known, "digest", "left_anti")

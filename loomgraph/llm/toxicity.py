@@ -120,7 +120,7 @@ def train_ftrl(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, epo
 
 def held_out(id_col: str) -> Column:
     """Whether a row is for testing: the remainder 2 of its id's CRC-32 by 4."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_TRAIN_ROWS) -> tuple[dict[int, float], float]:

@@ -12,6 +12,7 @@ enter the index, so lost executors leave unreferenced files at worst.
 
 Defined results: null html is an empty payload; a null URL is the empty URL;
 equal rows are each a record (of the largest page_id, each is a response);
+rows without page_id are left out;
 an empty table gives empty archives; further columns are ignored.
 """
 
