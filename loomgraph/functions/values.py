@@ -153,10 +153,6 @@ def _lift_val(v: Val, f: Callable[[Val], Val]) -> Val:
 # --- comparison
 
 
-def _nan(v: Val) -> Column:
-    return F.isnan(v.col) if v.kind == Kind.FLOAT else F.lit(False)
-
-
 def equals(a: Val, b: Val) -> Column:
     """Null-safe and type-aware; Int equals Float only without loss."""
     if a.kind == Kind.MIXED:
@@ -184,9 +180,9 @@ def _ordered(a: Val, b: Val, less: bool, or_equal: bool) -> Column:
     if a.kind == Kind.NULL:
         return both_null
     test = {(True, False): a.col < b.col, (True, True): a.col <= b.col, (False, False): a.col > b.col, (False, True): a.col >= b.col}[less, or_equal]
-    if Kind.FLOAT in (a.kind, b.kind):
-        test = test & ~_nan(a) & ~_nan(b)
-    test = F.coalesce(test, F.lit(False))
+    larger = b if less else a  # Spark sorts NaN last, so only this side can be NaN where the test holds
+    if larger.kind == Kind.FLOAT:
+        test = test & (larger.col <= float("inf"))
     return both_null | test if or_equal else test
 
 
@@ -210,12 +206,18 @@ def _texts(a: Val, b: Val, test: Callable[[Column, Column], Column]) -> Column:
         return _lift_bool(a, lambda m: _texts(m, b, test))
     if b.kind == Kind.MIXED:
         return _lift_bool(b, lambda m: _texts(a, m, test))
-    return F.coalesce(test(text(a), text(b)), F.lit(False))
+    return test(text(a), text(b))
+
+
+def negated(condition: Column) -> Column:
+    """The opposite of a filter.  Filters may be null for false, which leaves
+    them plain enough to reach the scan; so nulls count as false here."""
+    return ~F.coalesce(condition, F.lit(False))
 
 
 COMPARE: dict[str, Callable[[Val, Val], Column]] = {
     "equal_to": equals,
-    "not_equal_to": lambda a, b: ~equals(a, b),
+    "not_equal_to": lambda a, b: negated(equals(a, b)),
     "greater_than": lambda a, b: _ordered(a, b, False, False),
     "greater_than_or_equal_to": lambda a, b: _ordered(a, b, False, True),
     "less_than": lambda a, b: _ordered(a, b, True, False),
@@ -231,7 +233,7 @@ def is_in(v: Val, values: list[object]) -> Column:
     if v.kind == Kind.MIXED:
         return _lift_bool(v, lambda m: is_in(m, values))
     same = [x for x in values if kind_of_value(x) == v.kind and v.kind != Kind.NULL]
-    out = F.coalesce(v.col.isin([literal(x).col for x in same]), F.lit(False)) if same else F.lit(False)
+    out = v.col.isin([literal(x).col for x in same]) if same else F.lit(False)
     for x in values:
         if kind_of_value(x) != v.kind or v.kind == Kind.NULL:
             out = out | equals(v, literal(x))

@@ -21,7 +21,7 @@ from .errors import QueryError, SchemaError
 from .functions import values as V
 from .functions.values import Kind, Val
 from .operators import operands as O
-from .plans.rows import DST, GROUPS, ID, SRC, Rows, attribute_column, presence_column, quoted
+from .plans.rows import DST, END_GROUP, GROUPS, ID, SRC, Rows, attribute_column, presence_column, quoted
 from .plugins import Plugin
 from .sources import frames
 from .sources.frames import Loaded
@@ -43,10 +43,11 @@ class PropertyGraph:
     def _empty(self) -> None:
         self._frames = {
             "node": Loaded(self.spark.createDataFrame([], f"{ID} string, {GROUPS} array<string>"), {}, Kind.NULL),
-            "edge": Loaded(self.spark.createDataFrame([], f"{ID} bigint, {SRC} string, {DST} string, {GROUPS} array<string>"), {}, Kind.NULL),
+            "edge": Loaded(self.spark.createDataFrame([], f"{ID} bigint, {SRC} string, {DST} string, {END_GROUP[SRC]} string, {END_GROUP[DST]} string, {GROUPS} array<string>"), {}, Kind.NULL),
         }
         self._groups: list[str] = []
         self._next_edge = 0
+        self._disjoint = True  # no node is in two groups, and none has changed groups
 
     # --- construction
 
@@ -98,6 +99,14 @@ class PropertyGraph:
         kind = self._frames["node"].ids
         return Kind.STRING if kind == Kind.NULL else kind
 
+    def edges_from(self, end: str, within: frozenset[str] | None) -> DataFrame:
+        """Edges whose ``end`` may be in the groups; those added with another group
+        for that end are left out, which prunes their table."""
+        if within is None or not self._disjoint:
+            return self.edges
+        known = F.col(END_GROUP[end])
+        return self.edges.where(known.isNull() | known.isin(sorted(within)) if within else known.isNull())
+
     def attribute_of(self, entity: str, name) -> tuple[Column, Val]:
         """(whether an entity has the attribute, its value)."""
         name = group_key(name)
@@ -163,6 +172,7 @@ class PropertyGraph:
         such.  Unknown groups are created."""
         names = [group_key(g) for g in ([group] if group is not None else []) + list(groups or [])]
         one = _is_frame_input(nodes, 2) or (isinstance(nodes, tuple) and isinstance(nodes[-1], dict))
+        self._disjoint = self._disjoint and len(names) < 2
         inputs = [nodes] if one else list(nodes)
         framed = bool(inputs) and _is_frame_input(inputs[0], 2)
         hook = ("add_nodes_dataframes" if framed else "add_node" if one else "add_nodes") + self._suffix(names, groups is not None)
@@ -175,9 +185,10 @@ class PropertyGraph:
 
         self._hooked(hook, {"nodes": inputs, "groups": names}, run, bypass_plugins)
 
-    def add_edges(self, edges, group=None, groups: list | None = None, edge_id: str | None = None, order_by: list[str] | None = None, checked: bool | None = None, bypass_plugins: bool = False) -> list[int] | None:
+    def add_edges(self, edges, group=None, groups: list | None = None, edge_id: str | None = None, order_by: list[str] | None = None, ends: tuple = (None, None), checked: bool | None = None, bypass_plugins: bool = False) -> list[int] | None:
         """edges: (source, target, attributes), a list of such, (frame, source column,
-        target column), or a list of such.  Returns the ids of tuples."""
+        target column), or a list of such.  Returns the ids of tuples.  ``ends``
+        promises groups that all sources and all targets of a frame are in."""
         names = [group_key(g) for g in ([group] if group is not None else []) + list(groups or [])]
         one = _is_frame_input(edges, 3) or (isinstance(edges, tuple) and isinstance(edges[-1], dict))
         inputs = [edges] if one else list(edges)
@@ -189,7 +200,7 @@ class PropertyGraph:
             for part in _parts(context["edges"], framed):
                 if framed:
                     df = frames.to_spark(self.spark, part[0])
-                    loaded = frames.load_edges(df, part[1], part[2], context["groups"], edge_id, self._next_edge, order_by)
+                    loaded = frames.load_edges(df, part[1], part[2], context["groups"], edge_id, self._next_edge, order_by, ends)
                     if edge_id is None:
                         self._next_edge += df.count()
                     else:
@@ -298,6 +309,7 @@ class PropertyGraph:
 
     def _changed(self, entity: str, selector, change: dict[str, Column]) -> None:
         """Columns replaced on the selected rows."""
+        self._disjoint = self._disjoint and not (entity == "node" and GROUPS in change)
         test, ids = self._ids(entity, selector)
         f = self._frames[entity]
         df = f.df
@@ -370,6 +382,7 @@ class PropertyGraph:
 
             def run(context: dict) -> None:
                 self._group(context["group"])
+                self._disjoint = False
                 for entity in ("node", "edge"):
                     f = self._frames[entity]
                     self._frames[entity] = Loaded(f.df.withColumn(GROUPS, F.array_remove(GROUPS, context["group"])), f.attributes, f.ids)
@@ -603,7 +616,7 @@ class PropertyGraph:
 
     def clone(self) -> PropertyGraph:
         other = PropertyGraph(self.spark, self.schema.copy())
-        other._frames, other._groups, other._next_edge, other._plugins = dict(self._frames), list(self._groups), self._next_edge, list(self._plugins)
+        other._frames, other._groups, other._next_edge, other._plugins, other._disjoint = dict(self._frames), list(self._groups), self._next_edge, list(self._plugins), self._disjoint
         return other
 
     def checkpoint(self) -> None:

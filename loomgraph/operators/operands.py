@@ -65,6 +65,10 @@ class Op:
     def rowwise(self, rows: Rows, val: Val | None) -> tuple[Column, Val | None] | None:
         return None
 
+    def local(self) -> bool:
+        """Whether each entity is judged alone, whatever other rows there are."""
+        return True
+
     def clone(self) -> Op:
         return self
 
@@ -82,6 +86,18 @@ class Filter(Op):
         return self.test(rows, val), val
 
 
+class InGroup(Filter):
+    """A group filter; what follows knows that rows are of these groups only."""
+
+    def __init__(self, names: list[str], mode: MatchMode):
+        super().__init__(lambda _rows, _val: _combine([F.array_contains(GROUPS, F.lit(n)) for n in names], mode))
+        self.names = frozenset(names)
+
+    def apply(self, rows):
+        within = self.names if rows.within is None else rows.within & self.names
+        return replace(super().apply(rows), within=within)
+
+
 class Transform(Op):
     """A new value from the old one."""
 
@@ -146,6 +162,9 @@ class Extreme(Op):
             same = quoted(k).eqNullSafe(F.col(f"__b{i}")) & same
         return replace(rows, df=rows.df.join(best, same, "left_semi"))
 
+    def local(self):
+        return False
+
 
 class Child(Op):
     """The parent's side of a child: rows that the child's own filters leave.
@@ -153,13 +172,18 @@ class Child(Op):
     ``link``: (own column, child's column) pairs that tell which rows those are.
     """
 
-    def __init__(self, child: Operand, project: Callable[[Rows], Rows], link: list[tuple[str, str]], direct: Callable[[Rows], tuple[Column, Val | None]] | None = None):
-        self.child, self.project, self.link, self.direct = child, project, link, direct
+    def __init__(self, child: Operand, project: Callable[[Rows], Rows], link: list[tuple[str, str]], direct: Callable[[Rows], tuple[Column, Val | None]] | None = None, exists: Callable[[Rows], tuple[Rows, str, str]] | None = None):
+        self.child, self.project, self.link, self.direct, self.exists = child, project, link, direct, exists
 
     def apply(self, rows):
         got = self.rowwise(rows, rows.val)
         if got is not None:
             return rows.where(got[0])
+        if self.exists is not None and not rows.keys and self.child.local():
+            # what the child leads to is judged alone, so it is enough to semi-join
+            # with all that qualifies, without first joining the parent's rows
+            start, own, theirs = self.exists(rows)
+            return rows.matching(self.child.forward(start).df, [(own, theirs)])
         left = self.child.forward(self.project(rows))
         link = [(a, VALUE) if self.child.moves_ids() and b == ID else (a, b) for a, b in self.link]
         return rows.matching(left.df, link)
@@ -171,8 +195,11 @@ class Child(Op):
         got = self.child.rowwise(rows, start)
         return None if got is None else (present & got[0], val)
 
+    def local(self):
+        return self.child.local()
+
     def clone(self):
-        return Child(self.child._snapshot(), self.project, self.link, self.direct)
+        return Child(self.child._snapshot(), self.project, self.link, self.direct, self.exists)
 
 
 class Gate(Op):
@@ -189,6 +216,9 @@ class Gate(Op):
     def rowwise(self, rows, val):
         return None if self.child.ops else (F.lit(True), val)
 
+    def local(self):
+        return not self.child.ops
+
     def clone(self):
         return Gate(self.child._snapshot(), self.project)
 
@@ -227,6 +257,9 @@ class EitherOr(Op):
         kind = V.common_kind(a[1].kind, b[1].kind)
         return a[0] | b[0], Val(kind, F.when(a[0], V.as_kind(a[1], kind).col).otherwise(V.as_kind(b[1], kind).col))
 
+    def local(self):
+        return self.left.local() and self.right.local()
+
     def clone(self):
         return EitherOr(self.left._snapshot(), self.right._snapshot())
 
@@ -244,7 +277,10 @@ class Exclude(Op):
 
     def rowwise(self, rows, val):
         got = self.inner.rowwise(rows, val)
-        return None if got is None or self.inner.moves_ids() else (~got[0], val)
+        return None if got is None or self.inner.moves_ids() else (V.negated(got[0]), val)
+
+    def local(self):
+        return self.inner.local()
 
     def clone(self):
         return Exclude(self.inner._snapshot())
@@ -286,6 +322,9 @@ class Operand:
             kept, val = kept & got[0], got[1]
         return kept, val
 
+    def local(self) -> bool:
+        return all(op.local() for op in self.ops)
+
     def moves_ids(self) -> bool:
         """Whether ids are changed, so that parents match against the new ones."""
         return self.role == "indices" and any(isinstance(op, (Transform, WithScalar)) for op in self.ops)
@@ -294,9 +333,9 @@ class Operand:
         snap = self._snapshot()
         return cls(self.graph, lambda: project(snap.rows()), self.grouped if grouped is None else grouped)
 
-    def _follow(self, cls, project, link, direct=None, grouped=None):
+    def _follow(self, cls, project, link, direct=None, grouped=None, exists=None):
         child = self._derive(cls, project, grouped)
-        self.ops.append(Child(child, project, link, direct))
+        self.ops.append(Child(child, project, link, direct, exists))
         return child
 
     def _fresh(self):
@@ -354,11 +393,7 @@ class EntityOperand(Operand):
 
     def in_group(self, groups, mode: MatchMode = MatchMode.ALL) -> None:
         names, mode = _unpack(groups, mode)
-
-        def test(_rows: Rows, _val):
-            return _combine([F.array_contains(GROUPS, F.lit(group_key(g))) for g in names], mode)
-
-        self.ops.append(Filter(test))
+        self.ops.append(InGroup([group_key(g) for g in names], mode))
 
     def index(self) -> IndicesOperand:
         """The ids."""
@@ -404,6 +439,9 @@ class TreeChild(Op):
     def rowwise(self, rows, val):
         return None if any(isinstance(op, Child) for op in self.child.ops) else (F.lit(True), val)
 
+    def local(self):
+        return self.child.local()
+
     def clone(self):
         return TreeChild(self.child._snapshot(), self.project)
 
@@ -451,29 +489,44 @@ class NodeOperand(EntityOperand):
     def edges(self, direction: EdgeDirection = EdgeDirection.BOTH) -> EdgeOperand:
         """Incident edges; a self loop shows twice under BOTH."""
 
+        def incident(rows: Rows) -> list[tuple[str, DataFrame]]:
+            return [(end, rows.graph.edges_from(end, rows.within)) for end, skip in ((SRC, EdgeDirection.INCOMING), (DST, EdgeDirection.OUTGOING)) if direction != skip]
+
+        def led(rows: Rows, parts: list[DataFrame]) -> Rows:
+            return replace(rows, df=parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), entity="edge", val=None, within=None)
+
         def project(rows: Rows) -> Rows:
             start = rows.df.select(F.col(ID).alias(PARENT), *map(quoted, rows.keys))
-            edges = rows.graph.edges
-            parts = [start.join(edges, F.col(PARENT) == F.col(end)) for end, skip in ((SRC, EdgeDirection.INCOMING), (DST, EdgeDirection.OUTGOING)) if direction != skip]
-            return replace(rows, df=parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), entity="edge", val=None)
+            return led(rows, [start.join(edges, F.col(PARENT) == F.col(end)) for end, edges in incident(rows)])
+
+        def exists(rows: Rows):
+            return led(rows, [edges.withColumn(PARENT, F.col(end)) for end, edges in incident(rows)]), ID, PARENT
 
-        return self._follow(EdgeOperand, project, [(ID, PARENT)])
+        return self._follow(EdgeOperand, project, [(ID, PARENT)], exists=exists)
 
     def neighbors(self, direction: EdgeDirection = EdgeDirection.BOTH) -> NodeOperand:
         """Adjacent nodes: one per edge, or under BOTH one per node and neighbour."""
 
-        def project(rows: Rows) -> Rows:
-            start = rows.df.select(F.col(ID).alias(PARENT), *map(quoted, rows.keys))
-            edges = rows.graph.edges.select(SRC, DST)
-            parts = [
-                start.join(edges, F.col(PARENT) == F.col(a)).select(PARENT, *map(quoted, rows.keys), F.col(b).alias("__next"))
+        def steps(rows: Rows) -> list[DataFrame]:
+            return [
+                rows.graph.edges_from(a, rows.within).select(F.col(a).alias("__from"), F.col(b).alias("__next"))
                 for a, b, skip in ((SRC, DST, EdgeDirection.INCOMING), (DST, SRC, EdgeDirection.OUTGOING))
                 if direction != skip
             ]
-            met = parts[0] if len(parts) == 1 else parts[0].union(parts[1]).distinct()
-            return replace(rows, df=met.join(rows.graph.nodes, F.col("__next") == F.col(ID)).drop("__next"), entity="node", val=None)
 
-        return self._follow(NodeOperand, project, [(ID, PARENT)])
+        def led(rows: Rows, met: DataFrame) -> Rows:
+            return replace(rows, df=met.join(rows.graph.nodes, F.col("__next") == F.col(ID)).drop("__next", "__from"), entity="node", val=None, within=None)
+
+        def project(rows: Rows) -> Rows:
+            start = rows.df.select(F.col(ID).alias(PARENT), *map(quoted, rows.keys))
+            parts = [start.join(step, F.col(PARENT) == F.col("__from")).drop("__from") for step in steps(rows)]
+            return led(rows, parts[0] if len(parts) == 1 else parts[0].union(parts[1]).distinct())
+
+        def exists(rows: Rows):
+            parts = steps(rows)
+            return led(rows, (parts[0] if len(parts) == 1 else parts[0].union(parts[1])).withColumn(PARENT, F.col("__from"))), ID, PARENT
+
+        return self._follow(NodeOperand, project, [(ID, PARENT)], exists=exists)
 
 
 class EdgeOperand(EntityOperand):
@@ -482,9 +535,12 @@ class EdgeOperand(EntityOperand):
     def _end(self, end: str) -> NodeOperand:
         def project(rows: Rows) -> Rows:
             start = rows.df.select(F.col(ID).alias(PARENT), F.col(end).alias("__next"), *map(quoted, rows.keys))
-            return replace(rows, df=start.join(rows.graph.nodes, F.col("__next") == F.col(ID)).drop("__next"), entity="node", val=None)
+            return replace(rows, df=start.join(rows.graph.nodes, F.col("__next") == F.col(ID)).drop("__next"), entity="node", val=None, within=None)
+
+        def exists(rows: Rows):
+            return replace(rows, df=rows.graph.nodes, entity="node", val=None, within=None), end, ID
 
-        return self._follow(NodeOperand, project, [(ID, PARENT)])
+        return self._follow(NodeOperand, project, [(ID, PARENT)], exists=exists)
 
     def source_node(self) -> NodeOperand:
         """The source of each edge."""
@@ -523,7 +579,7 @@ class _Comparable(Operand):
         if isinstance(values, Operand):
             self.ops.append(WithMany(values._snapshot(), False))
         else:
-            self.ops.append(Filter(lambda _rows, v: ~V.is_in(v, _as_list(values))))
+            self.ops.append(Filter(lambda _rows, v: V.negated(V.is_in(v, _as_list(values)))))
 
     def slice(self, start: int, end: int) -> None:
         self.ops.append(Transform(lambda v: V.slice_text(v, start, end)))

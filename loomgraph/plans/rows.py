@@ -14,6 +14,8 @@ if TYPE_CHECKING:
     from ..graph import PropertyGraph
 
 ID, SRC, DST, GROUPS, PARENT, VALUE, TREE = "__id", "__src", "__dst", "__groups", "__parent", "__v", "__t"
+#: Groups that an edge's ends are known to be of, by end.
+END_GROUP = {SRC: "__src_group", DST: "__dst_group"}
 
 
 def attribute_column(name: str) -> str:
@@ -32,7 +34,8 @@ def quoted(column: str) -> Column:
 class Rows:
     """``keys`` are group keys that ride along; ``universe`` has all groups, also
     those that filters have emptied; ``val`` is the value of a value stream;
-    ``indexed`` tells whether a value still has its entity's id."""
+    ``indexed`` tells whether a value still has its entity's id; ``within``
+    names groups that all rows are of, if a filter has said so."""
 
     graph: PropertyGraph
     df: DataFrame
@@ -41,6 +44,7 @@ class Rows:
     universe: DataFrame | None = None
     val: Val | None = None
     indexed: bool = True
+    within: frozenset[str] | None = None
 
     def where(self, condition: Column) -> Rows:
         return replace(self, df=self.df.where(condition))

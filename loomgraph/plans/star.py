@@ -27,6 +27,10 @@ def star_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     lives = customer.select(tagged(F.col("c_custkey"), 3), key("c", "c_custkey").alias("from"), key("n", "c_nationkey").alias("to"))
     based = supplier.select(tagged(F.col("s_suppkey"), 4), key("s", "s_suppkey").alias("from"), key("n", "s_nationkey").alias("to"))
     lies = nation.select(tagged(F.col("n_nationkey"), 5), key("n", "n_nationkey").alias("from"), key("r", "n_regionkey").alias("to"))
-    for group, df in (("placed", placed), ("contains", contains), ("offers", offers), ("lives", lives), ("based", based), ("lies", lies)):
-        graph.add_edges((df, "from", "to"), group=group, edge_id="edge")
+    tables = (
+        ("placed", placed, "customer", "order"), ("contains", contains, "order", "part"), ("offers", offers, "part", "supplier"),
+        ("lives", lives, "customer", "nation"), ("based", based, "supplier", "nation"), ("lies", lies, "nation", "region"),
+    )
+    for group, df, source, target in tables:
+        graph.add_edges((df, "from", "to"), group=group, edge_id="edge", ends=(source, target))
     return graph

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..errors import ConversionError
 from ..functions import values as V
 from ..functions.values import Kind, Val
-from ..plans.rows import DST, GROUPS, ID, SRC, attribute_column, presence_column, quoted
+from ..plans.rows import DST, END_GROUP, GROUPS, ID, SRC, attribute_column, presence_column, quoted
 
 
 @dataclass
@@ -57,7 +57,7 @@ def load_nodes(df: DataFrame, index: str, groups: list[str]) -> Loaded:
     return Loaded(df.select(ids.col.alias(ID), group_array(groups), *columns), attributes, ids.kind)
 
 
-def load_edges(df: DataFrame, source: str, target: str, groups: list[str], edge_id: str | None = None, start: int = 0, order_by: list[str] | None = None) -> Loaded:
+def load_edges(df: DataFrame, source: str, target: str, groups: list[str], edge_id: str | None = None, start: int = 0, order_by: list[str] | None = None, ends: tuple[str | None, str | None] = (None, None)) -> Loaded:
     """Ids come from an integer column, or are numbered from ``start`` in the order given."""
     columns, attributes = _attributes(df, {source, target} | ({edge_id} if edge_id else set()))
     s, t = _id_value(df, source), _id_value(df, target)
@@ -65,10 +65,14 @@ def load_edges(df: DataFrame, source: str, target: str, groups: list[str], edge_
         df, number = numbered(df, start, order_by)
     else:
         number = quoted(edge_id)
-    slim = df.select(number.cast("bigint").alias(ID), s.col.alias(SRC), t.col.alias(DST), group_array(groups), *columns)
+    slim = df.select(number.cast("bigint").alias(ID), s.col.alias(SRC), t.col.alias(DST), *end_groups(ends), group_array(groups), *columns)
     return Loaded(slim, attributes, V.common_kind(s.kind, t.kind))
 
 
+def end_groups(ends: tuple[str | None, str | None] = (None, None)) -> list:
+    return [F.lit(g).cast("string").alias(c) for g, c in zip(ends, END_GROUP.values(), strict=True)]
+
+
 def group_array(groups: list[str]):
     return (F.array(*[F.lit(g) for g in groups]) if groups else F.array().cast("array<string>")).alias(GROUPS)
 
@@ -122,6 +126,8 @@ def load_tuples(spark: SparkSession, rows: list[tuple], entity: str, groups: lis
                 row.append(n in own)
         out.append(tuple(row))
     df = spark.createDataFrame(out, T.StructType(fields))
+    if entity == "edge":
+        df = df.select("*", *end_groups())
     return Loaded(df, {n: (k, flagged[n]) for n, k in names.items()}, ids)
 
 
@@ -146,7 +152,7 @@ def united(a: Loaded, b: Loaded, ends: list[str]) -> Loaded:
 
     def aligned(x: Loaded) -> DataFrame:
         columns = [V.as_kind(Val(x.ids, F.col(c)), ids).col.alias(c) if c != ID or ends == [ID] else F.col(c) for c in ends]
-        columns.append(F.col(GROUPS))
+        columns += [F.col(c) for c in END_GROUP.values() if ends != [ID]] + [F.col(GROUPS)]
         for n, kind in kinds.items():
             own, flag = x.attributes.get(n, (Kind.NULL, False))
             known = n in x.attributes
