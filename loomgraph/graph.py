@@ -29,6 +29,37 @@ from .sources.frames import Loaded
 group_key = O.group_key
 
 
+ENDS = {"node": [ID], "edge": [ID, SRC, DST]}
+
+
+class _Frames(dict):
+    """Entity frames; parts that were added are united when they are first used."""
+
+    def __init__(self, empty: dict[str, Loaded]):
+        super().__init__(empty)
+        self._parts: dict[str, list[Loaded]] = {}
+
+    def add(self, entity: str, loaded: Loaded) -> None:
+        old = super().__getitem__(entity)
+        kept = [] if not old.attributes and old.ids == Kind.NULL else [old]
+        self._parts.setdefault(entity, kept).append(loaded)
+
+    def __getitem__(self, entity: str) -> Loaded:
+        if parts := self._parts.pop(entity, None):
+            super().__setitem__(entity, frames.united(parts, ENDS[entity]))
+        return super().__getitem__(entity)
+
+    def __setitem__(self, entity: str, loaded: Loaded) -> None:
+        self._parts.pop(entity, None)
+        super().__setitem__(entity, loaded)
+
+    def items(self):
+        return [(e, self[e]) for e in self]
+
+    def copy(self) -> _Frames:
+        return _Frames(dict(self.items()))
+
+
 class PropertyGraph:
     """A directed multigraph with attributes and groups on nodes and edges."""
 
@@ -41,10 +72,10 @@ class PropertyGraph:
             self.add_plugin(p)
 
     def _empty(self) -> None:
-        self._frames = {
+        self._frames = _Frames({
             "node": Loaded(self.spark.createDataFrame([], f"{ID} string, {GROUPS} array<string>"), {}, Kind.NULL),
             "edge": Loaded(self.spark.createDataFrame([], f"{ID} bigint, {SRC} string, {DST} string, {END_GROUP[SRC]} string, {END_GROUP[DST]} string, {GROUPS} array<string>"), {}, Kind.NULL),
-        }
+        })
         self._groups: list[str] = []
         self._next_edge = 0
         self._disjoint = True  # no node is in two groups, and none has changed groups
@@ -226,10 +257,7 @@ class PropertyGraph:
         if checked:
             self._check(entity, loaded)
         self._learn(entity, loaded, groups or [None], checked)
-        old = self._frames[entity]
-        ends = [ID] if entity == "node" else [ID, SRC, DST]
-        first = not old.attributes and old.ids == Kind.NULL
-        self._frames[entity] = loaded if first else frames.united(old, loaded, ends)
+        self._frames.add(entity, loaded)
         self._groups += [g for g in groups if g not in self._groups]
 
     def _check(self, entity: str, loaded: Loaded) -> None:
@@ -331,7 +359,7 @@ class PropertyGraph:
             for end in (SRC, DST):
                 own = V.is_in(Val(n.ids, F.col(end)), O._as_list(context["nodes"])) if ids is None else None
                 edges = self._without(edges, end, own, ids)
-            self._frames = {"node": Loaded(self._without(n.df, ID, test, ids), n.attributes, n.ids), "edge": Loaded(edges, e.attributes, e.ids)}
+            self._frames = _Frames({"node": Loaded(self._without(n.df, ID, test, ids), n.attributes, n.ids), "edge": Loaded(edges, e.attributes, e.ids)})
 
         self._hooked("remove_node", {"nodes": nodes}, run, bypass_plugins)
 
@@ -616,7 +644,7 @@ class PropertyGraph:
 
     def clone(self) -> PropertyGraph:
         other = PropertyGraph(self.spark, self.schema.copy())
-        other._frames, other._groups, other._next_edge, other._plugins, other._disjoint = dict(self._frames), list(self._groups), self._next_edge, list(self._plugins), self._disjoint
+        other._frames, other._groups, other._next_edge, other._plugins, other._disjoint = self._frames.copy(), list(self._groups), self._next_edge, list(self._plugins), self._disjoint
         return other
 
     def checkpoint(self) -> None:

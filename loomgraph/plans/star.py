@@ -8,7 +8,19 @@ from pyspark.sql import functions as F
 from ..graph import PropertyGraph
 
 
+_BUILT: dict[tuple[str, str], PropertyGraph] = {}
+
+
 def star_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """The graph of a folder; its plan (no data) is built once per session."""
+    key = (f"{spark.sparkContext.applicationId}/{id(spark)}", sf_dir)
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = _build(spark, sf_dir)
+    return _BUILT[key].clone()
+
+
+def _build(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """Nodes ``c:1``, ``o:1``, ``p:1``, ``s:1``, ``n:1``, ``r:1`` with their columns as
     attributes.  Edge ids are numbers below a tag; the line item has no unique
     key, so its edges carry row numbers by key, part and supplier."""

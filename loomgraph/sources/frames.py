@@ -143,24 +143,56 @@ def cell(v, kind: Kind):
     return (int(own), *[v if own == k else None for k in V.FIELD])
 
 
-def united(a: Loaded, b: Loaded, ends: list[str]) -> Loaded:
-    """Both frames with common attributes; kinds widen, presence flags appear
-    where only one side has an attribute."""
-    kinds = {n: V.common_kind(a.attributes.get(n, (Kind.NULL, False))[0], b.attributes.get(n, (Kind.NULL, False))[0]) for n in [*a.attributes, *b.attributes]}
-    flagged = {n: n not in a.attributes or n not in b.attributes or a.attributes[n][1] or b.attributes[n][1] for n in kinds}
-    ids = V.common_kind(a.ids, b.ids)
+def united(parts: list[Loaded], ends: list[str]) -> Loaded:
+    """All frames with common attributes; kinds widen, presence flags appear where
+    some frame lacks an attribute."""
+    if len(parts) == 1:
+        return parts[0]
+    kinds: dict[str, Kind] = {}
+    flagged: dict[str, bool] = {}
+    ids = Kind.NULL
+    for x in parts:
+        ids = V.common_kind(ids, x.ids)
+        for n, (kind, flag) in x.attributes.items():
+            kinds[n] = V.common_kind(kinds.get(n, Kind.NULL), kind)
+            flagged[n] = flagged.get(n, False) or flag
+    for n in kinds:
+        flagged[n] = flagged[n] or any(n not in x.attributes for x in parts)
 
     def aligned(x: Loaded) -> DataFrame:
-        columns = [V.as_kind(Val(x.ids, F.col(c)), ids).col.alias(c) if c != ID or ends == [ID] else F.col(c) for c in ends]
-        columns += [F.col(c) for c in END_GROUP.values() if ends != [ID]] + [F.col(GROUPS)]
+        wide = {}  # columns that change their kind are rewritten first
+        for c in ends if x.ids != ids else ():
+            if c != ID or ends == [ID]:
+                wide[c] = V.as_kind(Val(x.ids, F.col(c)), ids).col
+        for n, (own, _) in x.attributes.items():
+            if own not in (kinds[n], Kind.NULL):
+                wide[attribute_column(n)] = V.as_kind(Val(own, quoted(attribute_column(n))), kinds[n]).col
+        df = x.df.withColumns(wide) if wide else x.df
+        columns = [*ends, *(END_GROUP.values() if ends != [ID] else ()), GROUPS]
         for n, kind in kinds.items():
+            stored = V.spark_type(Kind.STRING if kind == Kind.NULL else kind)  # a column of Nulls only
+            a, h = f"`{attribute_column(n)}`", f"`{presence_column(n)}`"
             own, flag = x.attributes.get(n, (Kind.NULL, False))
             known = n in x.attributes
-            stored = V.spark_type(Kind.STRING if kind == Kind.NULL else kind)  # a column of Nulls only
-            value = V.as_kind(Val(own, quoted(attribute_column(n))), kind).col.cast(stored) if known else F.lit(None).cast(stored)
-            columns.append(value.alias(attribute_column(n)))
+            if own != Kind.NULL or kind == Kind.NULL:
+                columns.append(a if known else f"cast(null as {stored}) as {a}")
+            else:
+                columns.append(_nulls(stored, kind, known, n))
             if flagged[n]:
-                columns.append((quoted(presence_column(n)) if flag else F.lit(known)).alias(presence_column(n)))
-        return x.df.select(*columns)
-
-    return Loaded(aligned(a).union(aligned(b)), {n: (k, flagged[n]) for n, k in kinds.items()}, ids)
+                columns.append(h if flag else f"{str(known).lower()} as {h}")
+        return df.selectExpr(*columns)
+
+    frames = [aligned(x) for x in parts]
+    df = frames[0]
+    for other in frames[1:]:
+        df = df.union(other)
+    return Loaded(df, {n: (k, flagged[n]) for n, k in kinds.items()}, ids)
+
+
+def _nulls(stored: str, kind: Kind, known: bool, name: str) -> str:
+    """Null values of a frame that has only Null, or no values at all."""
+    a = attribute_column(name)
+    if kind == Kind.MIXED and known:
+        fields = ", ".join(f"'{f}', cast(null as {V.SPARK_TYPE[k]})" for k, f in V.FIELD.items())
+        return f"named_struct('t', cast(0 as tinyint), {fields}) as `{a}`"
+    return f"cast(null as {stored}) as `{a}`"
