@@ -37,6 +37,9 @@ class TreeBPE:
         self.ranks = ranks
         self.split = regex.compile(pattern)
         self.bytes_of = {i: b for b, i in ranks.items()}
+        # every way to make a token of two others: (left, right) -> token
+        self.merges = {(ranks[b[:k]] << 32) | ranks[b[k:]]: i for b, i in ranks.items() for k in range(1, len(b)) if b[:k] in ranks and b[k:] in ranks}
+        self.single = [ranks.get(bytes([x]), -1) for x in range(256)]
         self.leaf_bytes = leaf_bytes
         self._pairs: dict[tuple[int, int], bool] = {}
         self._cache: dict[str, tuple[str, int, bytes]] = {}
@@ -53,18 +56,21 @@ class TreeBPE:
 
     def _leaf(self, data: bytes) -> list[int]:
         """Merge the lowest-ranked adjacent pair, leftmost first, until none is left."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        ranks = self.ranks
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = ranks.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
+        single, get, none = self.single, self.merges.get, 1 << 62
+        ids = [single[x] for x in data]
+        made = [get((a << 32) | b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        while made:
+            token = min(made)
+            if token == none:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[p] for p in parts]
+            k = made.index(token)
+            ids[k : k + 2] = [token]
+            del made[k]
+            if k:
+                made[k - 1] = get((ids[k - 1] << 32) | token, none)
+            if k < len(made):
+                made[k] = get((token << 32) | ids[k + 1], none)
+        return ids
 
     def _fits(self, a: int, b: int) -> bool:
         """Whether a then b is the encoding of their joint bytes."""
@@ -130,25 +136,28 @@ class TreeBPE:
         stream = [found] if found is not None else self._blocks(text)
         first = True
         for block in stream:
-            ids_text, decoded = [], []
-            for piece in block:
-                got = cache.get(piece)
-                if got is None:
-                    ids = self.encode_bytes(piece.encode("utf-8"))
-                    got = (" ".join(map(str, ids)), len(ids), self.decode(ids))
-                    if len(cache) >= CACHE_ENTRIES:
-                        cache.clear()
-                    if len(piece) <= 64:
-                        cache[piece] = got
-                ids_text.append(got[0])
-                n += got[1]
-                decoded.append(got[2])
-            if ids_text:
-                ids_hash.update((("" if first else " ") + " ".join(ids_text)).encode("ascii"))
-                bytes_hash.update(b"".join(decoded))
+            known = [cache.get(piece) for piece in block]
+            if None in known:
+                known = [self._piece(piece) if got is None else got for piece, got in zip(block, known, strict=True)]
+            if known:
+                n += sum([x[1] for x in known])
+                ids_hash.update((("" if first else " ") + " ".join([x[0] for x in known])).encode("ascii"))
+                bytes_hash.update(b"".join([x[2] for x in known]))
                 first = False
         return n, ids_hash.hexdigest(), bytes_hash.hexdigest()
 
+    def _piece(self, piece: str) -> tuple[str, int, bytes]:
+        """Ids in decimal, their number and their bytes, kept for short pieces."""
+        got = self._cache.get(piece)
+        if got is None:
+            ids = self.encode_bytes(piece.encode("utf-8"))
+            got = (" ".join(map(str, ids)), len(ids), self.decode(ids))
+            if len(self._cache) >= CACHE_ENTRIES:
+                self._cache.clear()
+            if len(piece) <= 64:
+                self._cache[piece] = got
+        return got
+
     def _blocks(self, text: str, size: int = 100_000) -> Iterator[list[str]]:
         block: list[str] = []
         for m in self.split.finditer(text):
