@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, pieces
+from .common import id_and_text, pieces, write_scratch
 
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens bigint"
 
@@ -82,4 +82,5 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     todo.mapInArrow(run, CACHE_SCHEMA).write.mode("append").option("compression", "zstd").parquet(cache_path)
     counts = read_cache(spark, cache_path).where(F.col("tokenizer_digest") == version)
     counts = counts.groupBy(F.col("content_digest").alias("digest")).agg(F.max("n_tokens").alias("n_tokens"))
+    counts, _ = write_scratch(counts, "token-counts")  # a stored side, so that a digest of very many rows can be split
     return keyed.join(counts, "digest").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
