@@ -224,6 +224,9 @@ class Gate(Op):
 
 
 class EitherOr(Op):
+    """Rows of either branch.  Ids come once; values with ids take the first
+    branch that has them; values without ids come from both branches."""
+
     def __init__(self, left: Operand, right: Operand):
         self.left, self.right = left, right
 
@@ -231,7 +234,8 @@ class EitherOr(Op):
         got = self.rowwise(rows, rows.val)
         if got is not None:
             kept = rows.where(got[0])
-            return kept if got[1] is rows.val or rows.val is None else kept.with_value(got[1])
+            kept = kept if got[1] is rows.val or rows.val is None else kept.with_value(got[1])
+            return _once(kept) if self.left.role == "indices" and not self.left.one else kept
         a, b = self.left.forward(rows), self.right.forward(rows)
         if rows.val is None:
             both = a.df.select(ID, *map(quoted, rows.keys)).union(b.df.select(ID, *map(quoted, rows.keys))).distinct()
@@ -239,20 +243,22 @@ class EitherOr(Op):
         kind = V.common_kind(a.val.kind, b.val.kind)
         a, b = a.with_value(V.as_kind(a.val, kind)), b.with_value(V.as_kind(b.val, kind))
         out = replace(rows, val=Val(kind, F.col(VALUE)))
-        if self.left.role == "indices" or (self.left.role == "attributes" and not rows.indexed):
-            columns = [*map(quoted, rows.keys), F.col(VALUE)]
-            return replace(out, df=a.df.select(*columns).union(b.df.select(*columns)).distinct().withColumn(ID, F.col(VALUE)) if self.left.role == "indices" else a.df.select(*columns).union(b.df.select(*columns)).distinct())
-        if not rows.indexed:
-            return replace(out, df=a.df.unionByName(b.df, allowMissingColumns=True))
-        return replace(out, df=a.df.unionByName(b.matching(a.df, [(ID, ID)], "left_anti").df, allowMissingColumns=True))
+        if self.left.one:
+            return replace(out, df=a.df.unionByName(b.matching(a.df, [], "left_anti").df, allowMissingColumns=True))
+        if rows.indexed and self.left.role != "indices":
+            return replace(out, df=a.df.unionByName(b.matching(a.df, [(ID, ID)], "left_anti").df, allowMissingColumns=True))
+        both = replace(out, df=a.df.unionByName(b.df, allowMissingColumns=True))
+        return both if self.left.role == "values" else _once(both)
 
     def rowwise(self, rows, val):
+        if val is not None and self.left.role == "values" and not rows.indexed and not self.left.one:
+            return None
         a, b = self.left.rowwise(rows, val), self.right.rowwise(rows, val)
         if a is None or b is None or self.left.moves_ids() or self.right.moves_ids():
             return None
         if val is None or (a[1] is val and b[1] is val):
             return a[0] | b[0], val
-        if not rows.indexed:
+        if not rows.indexed and not self.left.one:
             return None
         kind = V.common_kind(a[1].kind, b[1].kind)
         return a[0] | b[0], Val(kind, F.when(a[0], V.as_kind(a[1], kind).col).otherwise(V.as_kind(b[1], kind).col))
@@ -264,6 +270,12 @@ class EitherOr(Op):
         return EitherOr(self.left._snapshot(), self.right._snapshot())
 
 
+def _once(rows: Rows) -> Rows:
+    """Each value once (per group)."""
+    df = rows.df.select(*map(quoted, rows.keys), F.col(VALUE)).distinct()
+    return replace(rows, df=df.withColumn(ID, F.col(VALUE)) if ID in rows.df.columns else df)
+
+
 class Exclude(Op):
     def __init__(self, inner: Operand):
         self.inner = inner
@@ -271,9 +283,11 @@ class Exclude(Op):
     def apply(self, rows):
         got = self.rowwise(rows, rows.val)
         if got is not None:
-            return rows.where(got[0])
-        gone = self.inner.forward(rows)
-        return rows.matching(gone.df, [(ID, ID)] if rows.indexed else [(VALUE, VALUE)], "left_anti")
+            kept = rows.where(got[0])
+        else:
+            gone = self.inner.forward(rows)
+            kept = rows.matching(gone.df, [] if self.inner.one else [(ID, ID)] if rows.indexed else [(VALUE, VALUE)], "left_anti")
+        return _once(kept) if self.inner.role == "indices" and rows.entity == "node" and not self.inner.one else kept
 
     def rowwise(self, rows, val):
         got = self.inner.rowwise(rows, val)
@@ -293,6 +307,8 @@ class Operand:
     """A point in a query: where its rows come from, and what is done to them."""
 
     role = "entity"
+    #: Whether there is at most one row (per group).
+    one = False
 
     def __init__(self, graph, source: Callable[[], Rows], grouped: bool = False, ops: list[Op] | None = None):
         self.graph, self.source, self.grouped, self.ops = graph, source, grouped, ops if ops is not None else []
@@ -698,19 +714,27 @@ class _Many(_Comparable):
         self.ops.append(Extreme(False))
 
 
+def _spread(operand: Operand, cls):
+    """One row per group as one stream."""
+    if not operand.grouped:
+        raise QueryError("ungroup() needs a grouped operand")
+
+    def project(rows: Rows) -> Rows:
+        flat = _without_keys(rows)
+        return replace(flat, df=flat.df.withColumn(ID, rows.val.col)) if operand.role == "indices" else flat
+
+    return operand._derive(cls, project, grouped=False)
+
+
 class ValueOperand(_ValueTypes):
     """One value (per group), with or without an id."""
 
     role = "values"
+    one = True
 
     def ungroup(self) -> PlainValuesOperand:
         """The values of all groups."""
-        if not self.grouped:
-            raise QueryError("ungroup() needs a grouped operand")
-        return self._derive(PlainValuesOperand if not self._keeps_id() else ValuesOperand, _without_keys, grouped=False)
-
-    def _keeps_id(self) -> bool:
-        return self.source().indexed
+        return _spread(self, ValuesOperand if self.source().indexed else PlainValuesOperand)
 
 
 class _ManyValues(_Many, _ValueTypes):
@@ -768,6 +792,11 @@ class IndexOperand(_Comparable):
     """One id."""
 
     role = "indices"
+    one = True
+
+    def ungroup(self) -> IndicesOperand:
+        """The ids of all groups."""
+        return _spread(self, IndicesOperand)
 
     def moves_ids(self) -> bool:
         return False
@@ -793,6 +822,11 @@ class AttributeOperand(_Comparable):
     """One attribute name."""
 
     role = "attributes"
+    one = True
+
+    def ungroup(self) -> AttributesOperand:
+        """The names of all groups."""
+        return _spread(self, AttributesOperand)
 
 
 class AttributesOperand(_Many):
@@ -801,6 +835,11 @@ class AttributesOperand(_Many):
     role = "attributes"
     single = AttributeOperand
 
+    def ungroup(self) -> AttributesOperand:
+        if not self.grouped:
+            raise QueryError("ungroup() needs a grouped operand")
+        return self._follow(AttributesOperand, _without_keys, [(ID, ID)], lambda rows: (F.lit(True), rows.val), grouped=False)
+
     def to_values(self) -> ValuesOperand:
         """The value of each named attribute; a name without value is an error."""
 
@@ -823,6 +862,12 @@ class AttributesTreeOperand(_Comparable):
     def rowwise(self, rows, val):
         return None
 
+    def ungroup(self) -> AttributesTreeOperand:
+        """The lists of all groups as one stream."""
+        if not self.grouped:
+            raise QueryError("ungroup() needs a grouped operand")
+        return self._derive(AttributesTreeOperand, _without_keys, grouped=False)
+
     def _per_entity(self, pick: Callable[[Column], Column], kind: Kind, what: str):
         """An aggregate over each entity's list; an empty list is an error."""
 
