@@ -263,6 +263,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = first.union(confirmed(rest, sets, min_percent))
     component = connected_components(links)
     of_class = classes.join(component, classes["node"] == component["id"], "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    of_class, _ = write_scratch(of_class, "classes")  # a stored side, so that a digest of very many rows can be split
     full = signed.where("n_shingles > 0").select("id", "n_shingles", "digest").join(of_class, "digest").select("id", "n_shingles", "component_id")
     empty = signed.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
     return full.union(empty).select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
