@@ -104,6 +104,7 @@ def payload_info(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     narrow = pages.select(pages[id_col].alias("page_id"), text_or_empty(html_col).alias("html"))
     narrow = narrow.select("page_id", base32_sha1(F.col("html").cast("binary")).alias("payload_digest"), F.octet_length("html").alias("n")).distinct()
     latest = narrow.where(F.col("n") >= least_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("latest"))
+    latest, _ = write_scratch(latest, "latest-captures")  # a stored side, so that a payload of very many pages can be split
     refers = F.when((F.col("n") >= least_bytes) & (F.col("latest") != F.col("page_id")), F.col("latest"))
     return narrow.join(latest, "payload_digest", "left").select("page_id", "payload_digest", refers.alias("refers_to"))
 
