@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, text_or_empty, unused_prefix
+from .common import id_and_text, text_or_empty, unused_prefix, write_scratch
 
 RULES_VERSION = "2"
 #: Fixed patterns; kind, pattern, least code points of a match.  Runs of one
@@ -90,6 +90,7 @@ def scan(docs: DataFrame, ledger_path: str, id_col: str = "doc_id", text_col: st
     )
     seen = read_ledger(spark, ledger_path).where(F.col("rule_version") == RULES_VERSION)
     seen = seen.where(F.size("spans") > 0).groupBy("blob").agg(F.max("spans").alias("spans"))
+    seen, _ = write_scratch(seen, "findings")  # a stored side, so that a blob of very many paths can be split
     none = F.array().cast("array<struct<start:bigint,kind_no:int,end:bigint>>")
     return keyed.join(seen, "blob", "left").select(F.col("id").alias(id_col), "blob", F.coalesce("spans", none).alias("spans"))
 
@@ -130,6 +131,7 @@ def redact(docs: DataFrame, ledger_path: str, id_col: str = "doc_id", text_col:
     """
     q = unused_prefix(docs, "_s")
     found = scan(docs, ledger_path, id_col, text_col).where(F.size("spans") > 0).groupBy(F.col("blob").alias(f"{q}blob")).agg(F.first("spans").alias(f"{q}spans"))
+    found, _ = write_scratch(found, "findings")
     joined = docs.withColumn(f"{q}blob", F.unhex(F.sha2(text_or_empty(text_col), 256))).join(found, f"{q}blob", "left")
     spans = F.col(f"{q}spans")
     out = joined.withColumn(text_col, F.when(spans.isNull(), F.col(text_col)).otherwise(redacted(F.col(text_col), spans)))
