@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,13 +27,15 @@ def shared_root(spark: SparkSession) -> str:
     Where the setting is absent only a local master may make up its own one.
     """
     sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if root:
         return root.rstrip("/")
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by driver and executors")
     if sc.applicationId not in _LOCAL_ROOTS:
-        _LOCAL_ROOTS[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
+        own = tempfile.mkdtemp(prefix="loomgraph-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _LOCAL_ROOTS[sc.applicationId] = f"file://{own}"
     return _LOCAL_ROOTS[sc.applicationId]
 
 
