@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-#: Mutations that call ``pre_<name>(graph, context)`` and ``post_<name>(graph, context)``.
+#: The mutations, each with ``pre_<name>(graph, context)`` and ``post_<name>(graph, context)``.
 HOOKS = (
     "set_schema", "freeze_schema", "unfreeze_schema",
     "add_node", "add_node_with_group", "add_node_with_groups", "remove_node",
