@@ -931,12 +931,31 @@ class InTree(Op):
             return F.filter(tree, lambda x: self.how.test(None, Val(Kind.STRING, x)))
         if isinstance(self.how, Transform):
             return F.transform(tree, lambda x: self.how.change(Val(Kind.STRING, x)).col)
-        raise QueryError("attribute lists are compared with literal values only")
+        raise QueryError("a choice inside attribute lists compares with literal values only")
 
     def apply(self, rows):
+        if isinstance(self.how, (WithScalar, WithMany)):
+            return self._with_operand(rows)
         return replace(rows, df=rows.df.withColumn(TREE, self.change(F.col(TREE))))
 
 
+    def _with_operand(self, rows: Rows) -> Rows:
+        """Against the value or the values of another operand: one row either way,
+        since attribute names are few."""
+        other = self.how.other.rows()
+        if isinstance(self.how, WithMany):
+            one = other.df.agg(F.collect_set(other.val.col.cast("string")).alias("__s"))
+            kept = F.filter(TREE, lambda x: F.array_contains("__s", x) == self.how.inside)
+        else:
+            got = F.when(F.count(F.lit(1)) == 0, F.raise_error(F.lit("No value to compare")).cast(V.spark_type(other.val.kind))).otherwise(F.first(other.val.col))
+            one = other.df.agg(got.alias("__s"))
+            scalar = Val(other.val.kind, F.col("__s"))
+            sample = self.how.use(Val(Kind.STRING, F.lit("")), scalar)
+            use = lambda x: self.how.use(Val(Kind.STRING, x), scalar)
+            kept = F.transform(TREE, lambda x: use(x).col) if isinstance(sample, Val) else F.filter(TREE, use)
+        return replace(rows, df=rows.df.crossJoin(F.broadcast(one)).withColumn(TREE, kept).drop("__s"))
+
+
 # --- results
 
 
