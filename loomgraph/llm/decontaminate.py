@@ -19,13 +19,14 @@ table is fine; further columns of the inputs are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import text_or_empty, write_scratch
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
@@ -93,14 +94,15 @@ class Queries:
 
 def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str, str]]]:
     """Items in blocks of bounded size, streamed through the driver."""
-    block, size = [], 0
+    block, size, given = [], 0, 0
     for name, text in benchmark.toLocalIterator():
         block.append((name, text))
         size += 1 + len(text) // 2
         if size >= block_words:
             yield block
-            block, size = [], 0
-    yield block
+            block, size, given = [], 0, given + 1
+    if block or not given:
+        yield block
 
 
 def find_matches(
@@ -109,13 +111,17 @@ def find_matches(
     """One row per document: id, n_words, spans (array of hit word ranges,
     end exclusive) and matches (array of item and longest match in words)."""
     spark = docs.sparkSession
-    slim = docs.select(docs[id_col].alias("id"), text_or_empty(text_col).alias("text"))
+    slim = docs.select(docs[id_col].alias("id"), text_or_empty(text_col).alias("text"), F.lit(0).cast("bigint").alias("row"))
     items = benchmark.select(F.col(item_col).cast("string"), text_or_empty(item_text))
+    blocks = _blocks(items, block_words)
+    first, second = next(blocks), next(blocks, None)
+    if second is not None:  # the passes are put together by stored row numbers
+        slim, _ = write_scratch(slim.withColumn("row", F.monotonically_increasing_id()), "numbered-texts")
     id_type = slim.schema["id"].dataType.simpleString()
-    schema = f"id {id_type}, n_words bigint, spans array<struct<start:bigint,end:bigint>>, matches array<struct<item:string,longest:bigint>>"
+    schema = f"id {id_type}, row bigint, n_words bigint, spans array<struct<start:bigint,end:bigint>>, matches array<struct<item:string,longest:bigint>>"
     types = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.struct([("item", pa.string()), ("longest", pa.int64())]))
     parts = []
-    for block in _blocks(items, block_words):
+    for block in chain((first, second) if second is not None else (first,), blocks):
         sent = spark.sparkContext.broadcast(block)  # at most block_words words
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -143,20 +149,20 @@ def find_matches(
                     matches: list[list[dict]] = [[] for _ in sizes]
                     for (d, k), length in longest.items():
                         matches[d].append({"item": queries.names[k], "longest": length})
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array(sizes, pa.int64()), pa.array(spans, types[0]), pa.array(matches, types[1])], names=["id", "n_words", "spans", "matches"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), batch.column(2).slice(start, stop - start), pa.array(sizes, pa.int64()), pa.array(spans, types[0]), pa.array(matches, types[1])], names=["id", "row", "n_words", "spans", "matches"])
                     start = stop
 
         parts.append(slim.mapInArrow(run, schema))
     if len(parts) == 1:
-        return parts[0].withColumnRenamed("id", id_col)
-    # several blocks: a document's hits are merged through row numbers of its own
+        return parts[0].drop("row").withColumnRenamed("id", id_col)
     merged = None
     for part in parts:
         merged = part if merged is None else merged.unionByName(part)
     return (
-        merged.groupBy("id", "n_words")
+        merged.groupBy("row", "id", "n_words")
         .agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("matches")).alias("matches"))
         .withColumn("spans", _merged_spans("spans"))
+        .drop("row")
         .withColumnRenamed("id", id_col)
     )
 

@@ -46,13 +46,17 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>",
     re.S | re.I,
 )
-_SIGNS = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
-#: Fixed words of class and id names that mark what is not the article.
+_ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+#: Fixed words of class and id names that mark what is not the article; a name
+#: like ``has-sidebar`` speaks of another part of the page.
+_NOT_OF_OTHERS = r"(?:^|(?<!\bhas)(?<!\bwith)(?<!\bno)(?<!\bhide)[\s_-])"
 _CHROME = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|header|masthead|footer|sidebar|aside|ad|ads|adslot|advert\w*|banner|promo\w*|sponsor\w*|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay"
+    _NOT_OF_OTHERS + r"(?:nav|navbar|navigation|menu|footer|sidebar|aside|ad|ads|adslot|advert\w*|banner|promo\w*|sponsor\w*|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay"
     r"|subscribe|newsletter|signup|login|search|comments?|comment-\w+|commentlist|disqus\w*|discussion|replies|reply|respond|share|sharing|social|breadcrumbs?|pagination|pager|related|recommended|widget|toolbar|copyright|skip-link)(?:$|[\s_-])",
     re.I,
 )
+#: The same outside an article, which has a header of its own.
+_PAGE_TOP = re.compile(_NOT_OF_OTHERS + r"(?:header|masthead|topbar)(?:$|[\s_-])", re.I)
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "toolbar"}
 _DROPPED = {"head", "nav", "footer", "aside", "form", "button", "dialog", "menu", "object", "canvas", "audio", "video"}
 _MAIN = {"article", "main"}
@@ -65,12 +69,12 @@ _SPACE = re.compile(r"\s+")
 FREE, DROPPED, MAIN = 0, 1, 2
 
 
-def _is_chrome(tag: str, attributes: str) -> bool:
+def _is_chrome(tag: str, attributes: str, zone: int) -> bool:
     if not attributes or tag in ("html", "body"):
         return False
-    for m in _SIGNS.finditer(attributes):
+    for m in _ATTRIBUTE.finditer(attributes):
         name, value = m.group(1).lower(), (m.group(2) or "").strip("\"'")
-        if name in ("class", "id") and _CHROME.search(value):
+        if name in ("class", "id") and (_CHROME.search(value) or (zone != MAIN and _PAGE_TOP.search(value))):
             return True
         if name == "role" and value.lower() in _ROLES:
             return True
@@ -83,7 +87,7 @@ def lines_of(html: str) -> list[tuple[int, str]]:
     """(zone, text) of every non-empty block in page order."""
     out: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = []
-    zone, leaf, held = FREE, False, []
+    zone, leaf, held, has_main = FREE, False, [], False
 
     def flush():
         if held:
@@ -105,7 +109,7 @@ def lines_of(html: str) -> list[tuple[int, str]]:
             flush()
         elif tag in _LEAVES:
             flush()
-            leaf = not closing and _is_chrome(tag, attributes)
+            leaf = not closing and _is_chrome(tag, attributes, zone)
         elif tag in _CONTAINERS:
             flush()
             leaf = False
@@ -117,11 +121,14 @@ def lines_of(html: str) -> list[tuple[int, str]]:
                         break
             elif not attributes.endswith("/"):
                 stack.append((tag, zone))
-                if zone != DROPPED:
-                    if tag in _DROPPED or (tag == "header" and zone != MAIN) or _is_chrome(tag, attributes):
-                        zone = DROPPED
-                    elif tag in _MAIN:
-                        zone = MAIN
+                if zone == DROPPED:
+                    # a page's first article counts even in a wrapper with an odd class
+                    if tag in _MAIN and not has_main and not any(t in _DROPPED for t, _ in stack) and not _is_chrome(tag, attributes, zone):
+                        zone, has_main = MAIN, True
+                elif tag in _DROPPED or (tag == "header" and zone != MAIN) or _is_chrome(tag, attributes, zone):
+                    zone = DROPPED
+                elif tag in _MAIN:
+                    zone, has_main = MAIN, True
     if at < len(html):
         held.append(html[at:])
     flush()
