@@ -79,6 +79,7 @@ class PropertyGraph:
         self._groups: list[str] = []
         self._next_edge = 0
         self._disjoint = True  # no node is in two groups, and none has changed groups
+        self._ends: set[tuple[str, str] | None] = set()  # promised groups of edge ends; None: some are not promised
 
     # --- construction
 
@@ -138,6 +139,21 @@ class PropertyGraph:
         known = F.col(END_GROUP[end])
         return self.edges.where(known.isNull() | known.isin(sorted(within)) if within else known.isNull())
 
+    def reachable(self, within: frozenset[str] | None, outgoing: bool, incoming: bool) -> frozenset[str] | None:
+        """Groups that one step from the groups can lead to; None if that is not known."""
+        if within is None or not self._disjoint or None in self._ends:
+            return None
+        return frozenset([t for s, t in self._ends if outgoing and s in within] + [s for s, t in self._ends if incoming and t in within])
+
+    def nodes_within(self, within: frozenset[str] | None) -> DataFrame:
+        """Nodes that may be in the groups; other tables are pruned."""
+        if within is None:
+            return self.nodes
+        test = F.lit(False)
+        for g in sorted(within):
+            test = test | F.array_contains(GROUPS, g)
+        return self.nodes.where(test)
+
     def attribute_of(self, entity: str, name) -> tuple[Column, Val]:
         """(whether an entity has the attribute, its value)."""
         name = group_key(name)
@@ -228,6 +244,8 @@ class PropertyGraph:
         made: list[int] = []
 
         def run(context: dict) -> None:
+            if context["edges"]:
+                self._ends.add(tuple(ends) if framed and None not in ends else None)
             for part in _parts(context["edges"], framed):
                 if framed:
                     df = frames.to_spark(self.spark, part[0])
@@ -644,7 +662,7 @@ class PropertyGraph:
 
     def clone(self) -> PropertyGraph:
         other = PropertyGraph(self.spark, self.schema.copy())
-        other._frames, other._groups, other._next_edge, other._plugins, other._disjoint = self._frames.copy(), list(self._groups), self._next_edge, list(self._plugins), self._disjoint
+        other._frames, other._groups, other._next_edge, other._plugins, other._disjoint, other._ends = self._frames.copy(), list(self._groups), self._next_edge, list(self._plugins), self._disjoint, set(self._ends)
         return other
 
     def checkpoint(self) -> None:

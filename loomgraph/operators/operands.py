@@ -531,7 +531,8 @@ class NodeOperand(EntityOperand):
             ]
 
         def led(rows: Rows, met: DataFrame) -> Rows:
-            return replace(rows, df=met.join(rows.graph.nodes, F.col("__next") == F.col(ID)).drop("__next", "__from"), entity="node", val=None, within=None)
+            within = rows.graph.reachable(rows.within, direction != EdgeDirection.INCOMING, direction != EdgeDirection.OUTGOING)
+            return replace(rows, df=met.join(rows.graph.nodes_within(within), F.col("__next") == F.col(ID)).drop("__next", "__from"), entity="node", val=None, within=within)
 
         def project(rows: Rows) -> Rows:
             start = rows.df.select(F.col(ID).alias(PARENT), *map(quoted, rows.keys))

@@ -31,7 +31,7 @@ def save(graph, path: str, format: str = "parquet") -> None:
     """Write ``nodes``, ``edges`` and ``graph`` below ``path``; folders are made."""
     graph._next_id()
     about = {
-        "format": format, "groups": graph._groups, "next_edge": graph._next_edge, "disjoint": graph._disjoint,
+        "format": format, "groups": graph._groups, "next_edge": graph._next_edge, "disjoint": graph._disjoint, "ends": [list(e) if e else None for e in graph._ends],
         "schema": {"groups": {k: _group(v) for k, v in graph.schema.groups.items()}, "ungrouped": _group(graph.schema.ungrouped), "provided": graph.schema.provided},
         "frames": {e: {"ids": int(f.ids), "attributes": {n: [int(k), flag] for n, (k, flag) in f.attributes.items()}, "schema": f.df.schema.jsonValue()} for e, f in graph._frames.items()},
     }
@@ -52,4 +52,5 @@ def load(spark: SparkSession, path: str):
         df = spark.read.format(about["format"]).schema(StructType.fromJson(d["schema"])).load(f"{path}/{entity}s")
         graph._frames[entity] = Loaded(df, {n: (Kind(k), flag) for n, (k, flag) in d["attributes"].items()}, Kind(d["ids"]))
     graph._groups, graph._next_edge, graph._disjoint = about["groups"], about["next_edge"], about["disjoint"]
+    graph._ends = {tuple(e) if e else None for e in about["ends"]}
     return graph
