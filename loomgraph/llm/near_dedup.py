@@ -13,6 +13,13 @@ Two waves keep large groups cheap: adjacent pairs of the first orders join
 most of a group; later pairs are confirmed only between different components,
 which loses no component.
 
+Runs of equal least prefix that are longer than the neighbour window are
+settled in rounds: the rows outside a run's largest component meet all its rows
+in other components, those that agree best first, and each round joins what it
+confirms, so that a centre with many copies joins them before the copies are
+tried with each other.  The last round tries every pair still apart: where very
+many documents are alike but below the limit, that is their number squared.
+
 At 0.75 similarity a pair shares three values in some of 32 orders but for
 3 in 10^8 cases; a range-sorted order spreads a region of any size over tasks.
 
@@ -44,6 +51,10 @@ DEPTH = 6
 LEAST_DEPTH = 3
 NEIGHBOURS = 8
 FIRST_WAVE_TREES = 2
+#: Partners of a row in each round over long runs; the round after tries all.
+ROUNDS = (4, 32, 256)
+#: Rows of a long run that one task compares with the run's minority.
+CHUNK = 256
 MIN_PERCENT = 75
 #: Signature values in a sketch, and how many must agree at MIN_PERCENT: five
 #: standard deviations below the mean.
@@ -173,15 +184,49 @@ def _unpacked(rows: list[tuple[bytes, int]]) -> tuple[np.ndarray, ...]:
     return number(raw[:, :4]), raw[:, 4:a], np.array([i for _, i in rows], np.int64), number(raw[:, a:b]), raw[:, b:]
 
 
+class _LongRuns:
+    """Rows of runs longer than the neighbour window.  The first and the last
+    run of a partition go out too, since they may go on in another one."""
+
+    def __init__(self):
+        self.held = self.key = None
+        self.going = True
+
+    @staticmethod
+    def _batch(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        tree, keys, ids, n, sketch = rows
+        data = np.concatenate((tree.astype(">i4").view(np.uint8).reshape(-1, 4), keys[:, : 4 * LEAST_DEPTH], sketch), axis=1)
+        return _row_batch("run", ids, n, np.zeros(len(ids), bool), [x.tobytes() for x in data])
+
+    def add(self, rows: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        if self.held is not None:
+            rows = tuple(np.concatenate(x) for x in zip(self.held, rows, strict=True))
+        tree, keys = rows[0], rows[1][:, : 4 * LEAST_DEPTH]
+        starts = np.flatnonzero(np.append(True, (tree[1:] != tree[:-1]) | (keys[1:] != keys[:-1]).any(axis=1)))
+        sizes = np.diff(np.append(starts, len(tree)))
+        out = sizes > NEIGHBOURS + 1
+        out[0] |= self.going and self.key in (None, (tree[0], keys[0].tobytes()))
+        self.key, self.going = (tree[-1], keys[-1].tobytes()), bool(out[-1])
+        self.held = None if self.going else tuple(x[starts[-1] :] for x in rows)
+        if out.any():
+            yield self._batch(tuple(x[np.repeat(out, sizes)] for x in rows))
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.held is not None:
+            yield self._batch(self.held)
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs within a sorted partition; its first and last rows go out too, so
     that pairs across partitions can be made of them."""
     part = TaskContext.get().partitionId()
     last = head = None
+    runs = _LongRuns()
     for batch in batches:
         if not batch.num_rows:
             continue
         rows, fresh = _arrays(batch), 0
+        yield from runs.add(rows)
         if last is not None:
             fresh = len(last[0])
             rows = tuple(np.concatenate(x) for x in zip(last, rows, strict=True))
@@ -189,6 +234,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if head is None or fresh < NEIGHBOURS:
             head = tuple(x[:NEIGHBOURS] for x in rows)
         last = tuple(x[-NEIGHBOURS:] for x in rows)
+    yield from runs.rest()
     if head is not None:
         for kind, rows in (("head", head), ("tail", last)):
             yield _row_batch(kind, rows[2], np.full(len(rows[2]), part), np.zeros(len(rows[2]), bool), _packed(rows))
@@ -209,8 +255,9 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = (carry + tail if len(tail) < NEIGHBOURS else tail)[-NEIGHBOURS:]
 
 
-def candidate_pairs(nodes: DataFrame) -> DataFrame:
-    """nodes (id, n_shingles, sig, sketch) -> distinct (a, b, first)."""
+def candidate_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """nodes (id, n_shingles, sig, sketch) -> distinct (a, b, first) of the
+    neighbour windows, and the rows (run, id, n, sketch) of longer runs."""
     spark = nodes.sparkSession
     twice = F.concat("sig", "sig")
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
@@ -220,8 +267,105 @@ def candidate_pairs(nodes: DataFrame) -> DataFrame:
     ranged = rows.repartitionByRange(parts, "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
     found, _ = write_scratch(ranged.mapInArrow(_scan, _ROWS), "forest-pairs")
     # two times NEIGHBOURS rows of each partition: bounded by their number
-    ends = found.where("kind <> 'pair'").coalesce(1).mapInArrow(_across, _ROWS)
-    return found.where("kind = 'pair'").union(ends).groupBy("a", "b").agg(F.max("first").alias("first"))
+    ends = found.where("kind in ('head', 'tail')").coalesce(1).mapInArrow(_across, _ROWS)
+    long = 4 + 4 * LEAST_DEPTH
+    runs = found.where("kind = 'run'").select(F.substring("key", 1, long).alias("run"), F.col("a").alias("id"), F.col("b").alias("n"), F.substring("key", long + 1, SKETCH // 2).alias("sketch"))
+    return found.where("kind = 'pair'").union(ends).groupBy("a", "b").agg(F.max("first").alias("first")), runs
+
+
+def _planes(sketches: list[bytes]) -> np.ndarray:
+    """Sketches bit by bit: four words of one bit of each of the 64 values."""
+    bits = np.unpackbits(np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1), axis=1)
+    return np.packbits(bits.reshape(len(sketches), SKETCH, 4).transpose(0, 2, 1), axis=2).view(np.uint64)[:, :, 0]
+
+
+def _rivals(width: int | None):
+    """Rows sorted by run and chunk -> (p, r, agree, more): for each row of the
+    minority its best partners of other components; ``more`` if others remain."""
+
+    def pairs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        _, _, probe, ids, n, sketch, component = zip(*rows, strict=True)
+        probe, ids, n, component, planes = np.array(probe), np.array(ids, np.int64), np.array(n, np.int64), np.array(component, np.int64), _planes(sketch)
+        p_at, r_at = np.flatnonzero(probe), np.flatnonzero(~probe)
+        for start in range(0, len(p_at) if len(r_at) else 0, 2048):
+            p = p_at[start : start + 2048]
+            differ = np.zeros((len(p), len(r_at)), np.uint64)
+            for k in range(4):
+                differ |= planes[p, k][:, None] ^ planes[r_at, k][None, :]
+            agree = SKETCH - np.bitwise_count(differ).astype(np.int64)
+            a, b = n[p][:, None], n[r_at][None, :]
+            fit = (agree >= LEAST_AGREEING) & (component[p][:, None] != component[r_at][None, :]) & (100 * np.minimum(a, b) >= MIN_PERCENT * np.maximum(a, b))
+            more = np.zeros(len(p), bool)
+            if width is not None and width < len(r_at):
+                more = fit.sum(axis=1) > width
+                best = np.argpartition(np.where(fit, -agree, 1), width - 1, axis=1)[:, :width]
+                chosen = np.zeros_like(fit)
+                np.put_along_axis(chosen, best, True, axis=1)
+                fit &= chosen
+            x, y = np.nonzero(fit)
+            if len(x):
+                columns = [pa.array(ids[p[x]]), pa.array(ids[r_at[y]]), pa.array(agree[x, y]), pa.array(more[x])]
+                yield pa.RecordBatch.from_arrays(columns, names=["p", "r", "agree", "more"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if held and held[0][:2] != row[:2]:
+                    yield from pairs(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield from pairs(held)
+
+    return run
+
+
+def _labelled(rows: DataFrame, component: DataFrame) -> DataFrame:
+    """Rows with ``component``; a node without links is its own."""
+    of = component.select("id", F.col("component").alias("_of"))
+    return rows.join(of, "id", "left").select(*rows.columns, F.coalesce("_of", "id").alias("component"))
+
+
+def settle_runs(base: DataFrame, runs: DataFrame, tested: DataFrame, component: DataFrame, min_percent: int) -> DataFrame:
+    """Components after every pair of a long run that is still apart was tried.
+
+    ``tested``: pairs (a, b) already confirmed or refused.  A run's rows are
+    dealt in chunks; only the rows outside its largest component are repeated
+    for each chunk.
+    """
+    parts = max(2, int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    for width in (*ROUNDS, None):
+        each = _labelled(runs.select("run", "id"), component).groupBy("run", "component").agg(F.count("*").alias("k"))
+        mixed = each.groupBy("run").agg(F.sum("k").alias("k"), F.max_by("component", F.struct("k", "component")).alias("largest"), F.count("*").alias("components"))
+        mixed = mixed.where((F.col("k") > NEIGHBOURS + 1) & (F.col("components") > 1)).select("run", "largest", F.ceil(F.col("k") / CHUNK).cast("int").alias("chunks"))
+        mixed, _ = write_scratch(mixed, "mixed-runs")
+        if mixed.isEmpty():
+            break
+        rows, _ = write_scratch(_labelled(runs.join(mixed, "run"), component), "mixed-rows")
+        own = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("probe", F.lit(False))
+        probes = rows.where("component <> largest").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("probe", F.lit(True))
+        dealt = own.unionByName(probes).select("run", "chunk", "probe", "id", "n", "sketch", "component")
+        dealt = dealt.repartition(parts, "run", "chunk").sortWithinPartitions("run", "chunk")
+        found = dealt.mapInArrow(_rivals(width), "p bigint, r bigint, agree bigint, more boolean")
+        more = False
+        if width is not None:
+            best = found.groupBy("p").agg(F.sort_array(F.collect_set(F.struct((-F.col("agree")).alias("rank"), "r"))).alias("best"), F.max("more").alias("more"))
+            best, _ = write_scratch(best.select("p", F.slice("best", 1, width).alias("best"), (F.col("more") | (F.size("best") > width)).alias("more")), "best-partners")
+            more = not best.where("more").isEmpty()
+            found = best.select("p", F.explode("best").alias("best")).select("p", "best.r")
+        fresh = found.select(F.least("p", "r").alias("a"), F.greatest("p", "r").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        fresh, _ = write_scratch(fresh, "run-pairs")
+        if not fresh.isEmpty():
+            needed = _needed(fresh)
+            sets, _ = write_scratch(maybe_in(base, "id", needed).join(needed, "id").select("id", "text").mapInArrow(_sets, "id bigint, set array<bigint>").dropDuplicates(["id"]), "run-sets")
+            new, _ = write_scratch(confirmed(fresh, sets, min_percent), "run-links")
+            tested = tested.union(fresh)
+            if not new.isEmpty():
+                component, _ = write_scratch(connected_components(component.select(F.col("id").alias("a"), F.col("component").alias("b")).union(new)), "run-components")
+        if not more:
+            break
+    return component
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +396,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed, _ = write_scratch(base.mapInArrow(_sign, "id bigint, n_shingles bigint, digest binary, sig binary, sketch binary"), "signatures")
     classes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("id").alias("node"))
     nodes = signed.join(classes.select(F.col("node").alias("id")), "id", "left_semi").where("n_shingles > 0").select("id", "n_shingles", "sig", "sketch")
-    pairs, _ = write_scratch(candidate_pairs(nodes), "candidates")
+    pairs, runs = candidate_pairs(nodes)
+    pairs, _ = write_scratch(pairs, "candidates")
     needed = _needed(pairs)  # distinct, so an inner join adds no row; a semi-join would be pushed below the bitmap
     sets, _ = write_scratch(maybe_in(base, "id", needed).join(needed, "id").select("id", "text").mapInArrow(_sets, "id bigint, set array<bigint>").dropDuplicates(["id"]), "shingle-sets")
     first, _ = write_scratch(confirmed(pairs.where("first"), sets, min_percent), "links")
@@ -261,7 +406,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = pairs.where(~F.col("first")).join(ca, "a", "left").join(cb, "b", "left")
     rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     links = first.union(confirmed(rest, sets, min_percent))
-    component = connected_components(links)
+    component = settle_runs(base, runs, pairs.select("a", "b"), connected_components(links), min_percent)
     of_class = classes.join(component, classes["node"] == component["id"], "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     of_class, _ = write_scratch(of_class, "classes")  # a stored side, so that a digest of very many rows can be split
     full = signed.where("n_shingles > 0").select("id", "n_shingles", "digest").join(of_class, "digest").select("id", "n_shingles", "component_id")

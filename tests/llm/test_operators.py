@@ -142,6 +142,24 @@ def test_near_duplicate_group(spark):
     assert by_id(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")), "n_shingles", "component_id") == want
 
 
+def test_near_duplicate_star(spark):
+    """Copies that are near one original but not near each other all join it."""
+    r = random.Random(11)
+    base = [f"w{k}" for k in range(404)]
+    rows = [(1000, " ".join(base))]
+    for i in [*range(1000), *range(1001, 2001)]:
+        w = list(base)
+        for k in r.sample(range(8, 396), 10):
+            w[k] = f"v{i}-{k}"
+        rows.append((i, " ".join(w)))
+    rows += [(5000 + i, " ".join(f"u{i}-{k}" for k in range(300))) for i in range(20)]
+    sets = {i: brute.shingles(t) for i, t in rows}
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(like(1000, i) >= 0.75 for i in range(2001)) and max(like(i, i + 1) for i in range(0, 998)) < 0.75
+    want = {i: (len(s), 0 if i < 5000 else i) for i, s in sets.items()}
+    assert by_id(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)), "n_shingles", "component_id") == want
+
+
 @pytest.mark.parametrize("bound", [1_000_000, 3])
 def test_components(spark, bound):
     r = random.Random(3)
