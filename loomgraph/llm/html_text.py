@@ -1,18 +1,19 @@
 """Main text of web pages by nearest-URL page differencing.
 
 A page is cut into text lines (blocks).  Pages are range-sorted by host and
-path; each is aligned with the page before and the page after it on its host
-by longest common subsequence of lines, and shared lines are the template's:
+path; each is aligned with the nearest page before and after it on its host
+that is not a copy of it, by longest common subsequence of lines, and shared lines are the template's:
 they are deleted.  Markup guards the method on both sides: lines of menus,
 headers, footers, sidebars, notices, adverts, forms and comments go even where
 a page is alone with them, and lines inside an article or main element stay
-even if a neighbour quotes them.  A neighbour that shares most of the text is
-a copy and tells nothing, so it deletes nothing.
+even if a neighbour quotes them.  A copy is told by what it does not share:
+next to nothing on either side.  It tells nothing and is passed over; so is a
+page without text.
 
 Only line hashes are sorted, not pages.  The deletions are joined back by page
 and content; that table is broadcast only if its size is below Spark's own
 limit.  Pairs across the edge of two partitions are made in a second pass
-over two rows of each.
+over the first and the last run of copies of each, one row for each form.
 
 Defined results: null html is empty; a page without text has the empty text;
 a null or broken URL is a host of its own; equal rows give equal results; an
@@ -35,8 +36,10 @@ from pyspark.sql import functions as F
 
 from .common import pieces, text_or_empty, write_scratch
 
-#: A neighbour sharing so much of the smaller page's free text is a copy.
-COPY_SHARE = 0.7
+#: Two pages are copies if each has at most this share of its text, and at most
+#: so many characters, to itself: a date or a counter.
+OWN_SHARE = 0.05
+OWN_CHARS = 40
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -166,7 +169,9 @@ def common_lines(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 _PAGE = "host string, path string, id bigint, content bigint, hashes array<bigint>, sizes array<int>, zones array<int>"
-_FOUND = "kind string, part int, " + _PAGE + ", dropped array<int>"
+_FOUND = (
+    "kind string, part int, place int, gap boolean, host string, ids array<bigint>, contents array<bigint>, hashes array<bigint>, sizes array<int>, zones array<int>, id bigint, content bigint, dropped array<int>"
+)
 
 
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,52 +192,107 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, types, strict=True)], names=["host", "path", "id", "content", "hashes", "sizes", "zones"])
 
 
-def _shared(a: dict, b: dict) -> tuple[list[int], list[int]]:
-    """Free lines to delete from two neighbours."""
-    if a["host"] != b["host"]:
-        return [], []
-    pairs = common_lines(a["hashes"], b["hashes"])
-    body = min(sum(s for s, z in zip(x["sizes"], x["zones"], strict=True) if z != DROPPED) for x in (a, b))
-    if sum(a["sizes"][i] for i, _ in pairs if a["zones"][i] != DROPPED) >= COPY_SHARE * max(body, 1):
-        return [], []
-    return [i for i, _ in pairs if a["zones"][i] == FREE], [j for _, j in pairs if b["zones"][j] == FREE]
+def _body(page: dict) -> int:
+    return sum(s for s, z in zip(page["sizes"], page["zones"], strict=True) if z != DROPPED)
+
+
+def _copies(a: dict, b: dict, pairs: list[tuple[int, int]]) -> bool:
+    """Whether next to nothing of either page is its own."""
+    for page, shared in ((a, [i for i, _ in pairs]), (b, [j for _, j in pairs])):
+        body = _body(page)
+        own = body - sum(page["sizes"][k] for k in shared if page["zones"][k] != DROPPED)
+        if own > min(OWN_CHARS, OWN_SHARE * body):
+            return False
+    return True
+
+
+def _drops(page: dict, lines: Iterator[int]) -> list[dict]:
+    gone = [k for k in lines if page["zones"][k] == FREE]
+    return [{"kind": "drop", "id": i, "content": c, "dropped": gone} for i, c in zip(page["ids"], page["contents"], strict=True)] if gone else []
+
+
+class _CopyRuns:
+    """Pages in order, as runs of copies of the run's first page.  A run's
+    pages are aligned with the last page before it and the first one after it;
+    pages of equal lines are one form."""
+
+    def __init__(self):
+        self.before, self.forms = None, {}
+        self.n_runs, self.first, self.second, self.last_before = 0, [], None, None
+
+    def add(self, page: dict) -> list[dict]:
+        if not _body(page):
+            return []
+        key = (tuple(page["hashes"]), tuple(page["zones"]))
+        out: list[dict] = []
+        forms = list(self.forms.values())
+        if forms and forms[0]["host"] == page["host"]:
+            pairs = [] if key in self.forms else common_lines(forms[0]["hashes"], page["hashes"])
+            if key in self.forms or _copies(forms[0], page, pairs):
+                if self.before is not None:
+                    out += _drops(page, [j for _, j in common_lines(self.before["hashes"], page["hashes"])])
+                if key in self.forms:
+                    self.forms[key]["ids"] += page["ids"]
+                    self.forms[key]["contents"] += page["contents"]
+                else:
+                    self.forms[key] = page
+                return out
+            for k, form in enumerate(forms):
+                if k:
+                    pairs = common_lines(form["hashes"], page["hashes"])
+                out += _drops(form, [i for i, _ in pairs])
+            out += _drops(page, [j for _, j in pairs])
+            self.before = forms[-1]
+        else:
+            self.before = None
+        if self.n_runs == 1:
+            self.first, self.second = forms, _alone(page)
+        self.last_before = _alone(forms[-1]) if forms else None
+        self.n_runs += 1
+        self.forms = {key: page}
+        return out
+
+    def ends(self) -> list[dict]:
+        """Pages that other partitions may have to be aligned with."""
+        last = list(self.forms.values())
+        if self.n_runs < 3:
+            return [x | {"kind": "end", "gap": False} for x in [*self.first, *last]]
+        rows = [*[(x, False) for x in self.first], (self.second, False), (self.last_before, True), *[(x, False) for x in last]]
+        return [x | {"kind": "end", "gap": gap} for x, gap in rows]
+
+
+def _alone(page: dict) -> dict:
+    """The lines of a page that is only there to be aligned with."""
+    return page | {"ids": [], "contents": []}
 
 
 def _rows(rows: list[dict]) -> pa.RecordBatch:
-    types = {"kind": pa.string(), "part": pa.int32(), "host": pa.string(), "path": pa.string(), "id": pa.int64(), "content": pa.int64(), "hashes": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "zones": pa.list_(pa.int32()), "dropped": pa.list_(pa.int32())}
+    ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
+    types = {"kind": pa.string(), "part": pa.int32(), "place": pa.int32(), "gap": pa.bool_(), "host": pa.string(), "ids": longs, "contents": longs, "hashes": longs, "sizes": ints, "zones": ints, "id": pa.int64(), "content": pa.int64(), "dropped": ints}
     return pa.RecordBatch.from_arrays([pa.array([r.get(k) for r in rows], t) for k, t in types.items()], names=list(types))
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
-    before = None
+    runs = _CopyRuns()
     for batch in batches:
         out = []
         for page in batch.to_pylist():
-            if before is None:
-                out.append(page | {"kind": "first", "part": part})
-            else:
-                for x, gone in zip((before, page), _shared(before, page), strict=True):
-                    if gone:
-                        out.append({"kind": "drop", "part": part, "id": x["id"], "content": x["content"], "dropped": gone})
-            before = page
+            out += runs.add(page | {"ids": [page.pop("id")], "contents": [page.pop("content")]})
         if out:
             yield _rows(out)
-    if before is not None:
-        yield _rows([before | {"kind": "last", "part": part}])
+    ends = [x | {"part": part, "place": k} for k, x in enumerate(runs.ends())]
+    if ends:
+        yield _rows(ends)
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ends: dict[tuple[int, str], dict] = {}
-    for batch in batches:
-        for r in batch.to_pylist():
-            ends[r["part"], r["kind"]] = r
-    parts, out = sorted({p for p, _ in ends}), []
-    for p, q in zip(parts, parts[1:], strict=False):
-        a, b = ends[p, "last"], ends[q, "first"]
-        for x, gone in zip((a, b), _shared(a, b), strict=True):
-            if gone:
-                out.append({"kind": "drop", "part": p, "id": x["id"], "content": x["content"], "dropped": gone})
+    ends = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: (r["part"], r["place"]))
+    runs, out = _CopyRuns(), []
+    for r in ends:
+        if r["gap"]:
+            runs = _CopyRuns()
+        out += runs.add({k: r[k] for k in ("host", "ids", "contents", "hashes", "sizes", "zones")})
     if out:
         yield _rows(out)
 
@@ -245,7 +305,7 @@ def template_lines(pages: DataFrame) -> DataFrame:
     narrow, _ = write_scratch(narrow, "page-lines")
     ordered = narrow.repartitionByRange(parts, "host", "path", "id").sortWithinPartitions("host", "path", "id", "content")
     found, _ = write_scratch(ordered.mapInArrow(_neighbours, _FOUND), "page-pairs")
-    across = found.where("kind <> 'drop'").coalesce(1).mapInArrow(_edges, _FOUND)  # two rows of each partition
+    across = found.where("kind <> 'drop'").coalesce(1).mapInArrow(_edges, _FOUND)  # two runs of each partition
     gone = found.where("kind = 'drop'").union(across).groupBy("id", "content").agg(F.array_distinct(F.flatten(F.collect_list("dropped"))).alias("gone"))
     return write_scratch(gone, "template-lines")[0]
 

@@ -269,6 +269,28 @@ def test_html(pages):
     assert html_text.main_text(pages).count() == len(PAGES) and html_text.main_text(pages.limit(0)).collect() == []
 
 
+MENU = "".join(f"<div>Unmarked menu entry number {k} of the theme</div>" for k in range(8))
+FORM = lambda text: f"{MENU}<p>{text}</p><div>Imprint and terms of this site</div>"
+
+
+def test_html_heavy_theme_and_copies(spark):
+    """A theme of three quarters of the page goes, also between runs of copies."""
+    stories = {k: f"Short story {k} tells of " + " ".join(f"{w}{k}" for w in ("rivers", "bridges", "winters", "mills", "ferries")) for k in range(30)}
+    rows = [(k, f"http://t.example/a/{k:03}", FORM(stories[k])) for k in range(10)]  # one theme, short articles
+    rows += [(100 * k + j, f"http://m.example/{k}?copy={j}", FORM(stories[k])) for k in range(1, 4) for j in range(7)]  # runs of copies
+    rows += [(1000 + k, "http://d.example/1", FORM(stories[9] + " " + "far and wide " * 70) + f"<p>seen {k} times</p>") for k in range(3)]  # near copies alone
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(pages).collect()}
+    assert {i: t for i, t in got.items() if i < 1000} == {i: stories[i if i < 10 else i // 100] for i, *_ in rows if i < 1000}
+    assert all("far and wide" in got[1000 + k] for k in range(3))
+    spread = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "13")  # runs across partitions
+        assert {r["page_id"]: r["text"] for r in html_text.main_text(pages).collect()} == got
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", spread)
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [
