@@ -76,14 +76,22 @@ def read_ledger(spark, path: str) -> DataFrame:
     return spark.read.schema(LEDGER_SCHEMA).parquet(path)
 
 
-def scan(docs: DataFrame, ledger_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Update the ledger; return id, blob and spans of every row."""
+def scan(docs: DataFrame, ledger_path: str, id_col: str = "doc_id", text_col: str = "text", nameless: DataFrame | None = None) -> DataFrame:
+    """Update the ledger; return id, blob and spans of every row.
+
+    Texts (text) of ``nameless`` are scanned too, for the ledger and the result
+    with a null id, one row for each blob.
+    """
     spark = docs.sparkSession
-    base = id_and_text(docs, id_col, text_col)
-    keyed = base.select("id", F.unhex(F.sha2("text", 256)).alias("blob"))
+    base = id_and_text(docs, id_col, text_col).withColumn("blob", F.unhex(F.sha2("text", 256)))
+    keyed = base.select("id", "blob")
     known = read_ledger(spark, ledger_path).where(F.col("rule_version") == RULES_VERSION).select("blob")
     carriers = keyed.groupBy("blob").agg(F.min("id").alias("id")).join(known, "blob", "left_anti")
-    unseen = base.join(carriers, "id")
+    unseen = base.join(carriers, ["id", "blob"]).select("blob", "text")
+    if nameless is not None:
+        lone = nameless.select("text", F.unhex(F.sha2("text", 256)).alias("blob")).dropDuplicates(["blob"])
+        unseen = unseen.union(lone.join(known, "blob", "left_anti").join(keyed.select("blob"), "blob", "left_anti").select("blob", "text"))
+        keyed = keyed.union(lone.select(F.lit(None).cast(base.schema["id"].dataType).alias("id"), "blob"))
     (
         unseen.select("blob", F.lit(RULES_VERSION).alias("rule_version"), spans_of(F.col("text")).alias("spans"))
         .write.mode("append").option("compression", "zstd").parquet(ledger_path)
@@ -126,11 +134,12 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 def redact(docs: DataFrame, ledger_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All documents, secrets in their text replaced; other columns kept.
 
-    Rows are matched by blob, so repeated ids with different texts stay apart
-    and rows without id are kept.
+    Rows are matched by blob, so repeated ids with different texts stay apart;
+    rows without id are kept and redacted like others.
     """
     q = unused_prefix(docs, "_s")
-    found = scan(docs, ledger_path, id_col, text_col).where(F.size("spans") > 0).groupBy(F.col("blob").alias(f"{q}blob")).agg(F.first("spans").alias(f"{q}spans"))
+    nameless = docs.where(docs[id_col].isNull()).select(text_or_empty(text_col).alias("text"))
+    found = scan(docs, ledger_path, id_col, text_col, nameless).where(F.size("spans") > 0).groupBy(F.col("blob").alias(f"{q}blob")).agg(F.first("spans").alias(f"{q}spans"))
     found, _ = write_scratch(found, "findings")
     joined = docs.withColumn(f"{q}blob", F.unhex(F.sha2(text_or_empty(text_col), 256))).join(found, f"{q}blob", "left")
     spans = F.col(f"{q}spans")

@@ -66,11 +66,11 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     """
     spark = docs.sparkSession
     version = file_digest(tokenizer_path)
-    base = id_and_text(docs, id_col, text_col)
-    keyed = base.select("id", F.unhex(F.sha2("text", 256)).alias("digest"), F.octet_length("text").cast("bigint").alias("n_bytes"))
+    base = id_and_text(docs, id_col, text_col).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    keyed = base.select("id", "digest", F.octet_length("text").cast("bigint").alias("n_bytes"))
     known = read_cache(spark, cache_path).where(F.col("tokenizer_digest") == version).select(F.col("content_digest").alias("digest"))
     carriers = keyed.groupBy("digest").agg(F.min("id").alias("id")).join(known, "digest", "left_anti")
-    todo = base.join(carriers, "id").select("digest", "text")
+    todo = base.join(carriers, ["id", "digest"]).select("digest", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer_path)

@@ -119,6 +119,20 @@ def test_secrets(spark, docs, empty):
     assert out[16][0] == "[SECRET] and [SECRET]' token=ab [SECRET] [SECRET]" and out[17][0] == "[SECRET]" and out[6][0] == BASE and out[0][0] is None
 
 
+def test_repeated_ids_with_other_texts(spark):
+    """Each blob and digest takes the result of its own text; rows without id are redacted."""
+    secret = "password = hunter2secret"
+    rows = [(1, "clean words only here"), (1, "x " + secret), (2, "y y y " + secret), (2, "short"), (None, "z " + secret), (None, "z " + secret), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {(r["doc_id"], bytes(r["blob"]).hex(), tuple(s["start"] for s in r["spans"])) for r in secrets.scan(df, scratch_path(spark, "ledger")).collect()}
+    assert found == {(i, brute.sha(t), tuple([t.index("password")] if secret in t else [])) for i, t in rows if i}
+    texts = sorted(str(r["text"]) for r in secrets.redact(df, scratch_path(spark, "ledger")).collect())
+    assert texts == sorted(str(t).replace(secret, "[SECRET]") for _, t in rows)
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    counts = {(r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in token_counts.count_tokens(df, PIECES, scratch_path(spark, "cache")).collect()}
+    assert counts == {(i, len(t), len(sp.encode(t))) for i, t in rows if i}
+
+
 def test_near_duplicates(docs, empty):
     want = {i: (n, c, i == c) for i, (n, c) in brute.near_duplicates(list(enumerate(TEXTS))).items()}
     assert by_id(near_dedup.near_duplicates(docs), "n_shingles", "component_id", "kept") == want
