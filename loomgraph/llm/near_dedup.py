@@ -415,6 +415,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each component, all columns kept."""
-    kept = near_duplicates(docs, id_col, text_col, **options).where("kept").select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi")
+    """One document of each component, all columns kept.
+
+    Rows without id are compared with nothing and all stay.  Of rows that repeat
+    a kept id and its text one stays; another text of that id stays too.
+    """
+    kept = near_duplicates(docs, id_col, text_col, **options).where("kept").groupBy(id_col).agg(F.count("*").alias("_rows"))
+    kept, _ = write_scratch(kept, "kept")
+    once = docs.join(kept.where("_rows = 1"), id_col, "left_semi")
+    often = docs.join(kept.where("_rows > 1"), id_col, "left_semi").dropDuplicates([id_col, text_col])
+    return once.union(often).union(docs.where(docs[id_col].isNull()))

@@ -141,6 +141,13 @@ def test_near_duplicates(docs, empty):
     assert near_dedup.near_duplicates(empty).collect() == []
 
 
+def test_keep_one_of_repeated_rows(spark):
+    """One of equal rows stays; rows without id stay."""
+    rows = [(1, BASE, "a"), (1, BASE, "a"), (2, BASE + " tail", "b"), (3, prose(2, 50), "c"), (None, BASE, "d"), (None, None, "e"), (4, None, "f"), (4, None, "f")]
+    kept = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string, more string"))
+    assert sorted(r["more"] for r in kept.collect()) == list("acdef") and kept.columns == ["doc_id", "text", "more"]
+
+
 def test_near_duplicate_group(spark):
     """A large group of near copies hangs together, and a pair at the limit is found."""
     r = random.Random(5)
