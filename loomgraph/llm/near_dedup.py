@@ -391,7 +391,13 @@ def _needed(pairs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_percent: int = MIN_PERCENT) -> DataFrame:
-    """id, n_shingles, component_id (least id of the component) and kept."""
+    """id, n_shingles, component_id (least id of the component) and kept.
+
+    Orders, sizes and sketches are laid out for MIN_PERCENT, so a lower limit is
+    refused.
+    """
+    if min_percent < MIN_PERCENT:
+        raise ValueError(f"min_percent is {min_percent}; pairs below {MIN_PERCENT} are not searched")
     base = id_and_text(docs, id_col, text_col).select(F.col("id").cast("bigint").alias("id"), "text")
     signed, _ = write_scratch(base.mapInArrow(_sign, "id bigint, n_shingles bigint, digest binary, sig binary, sketch binary"), "signatures")
     classes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("id").alias("node"))

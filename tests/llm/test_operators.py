@@ -141,6 +141,12 @@ def test_near_duplicates(docs, empty):
     assert near_dedup.near_duplicates(empty).collect() == []
 
 
+def test_lower_limits_are_refused(docs):
+    for call in (near_dedup.near_duplicates, near_dedup.keep_one):
+        with pytest.raises(ValueError, match="min_percent"):
+            call(docs, min_percent=50)
+
+
 def test_keep_one_of_repeated_rows(spark):
     """One of equal rows stays; rows without id stay."""
     rows = [(1, BASE, "a"), (1, BASE, "a"), (2, BASE + " tail", "b"), (3, prose(2, 50), "c"), (None, BASE, "d"), (None, None, "e"), (4, None, "f"), (4, None, "f")]
