@@ -55,6 +55,13 @@ def write_scratch(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def range_count(df: DataFrame, row_bytes: int, task_bytes: int = 64 << 20) -> int:
+    """Partitions for a range sort of a stored table: the session's number, more
+    where ``row_bytes`` a row would give a partition over ``task_bytes``."""
+    least = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(least, -(-df.count() * row_bytes // task_bytes))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete shuffle files of finished jobs now, not when
     the driver happens to collect its garbage."""

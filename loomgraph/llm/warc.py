@@ -2,18 +2,23 @@
 
 Writing: each task writes one ``.warc.gz`` of gzip members, one record each,
 into the shared folder; equal payloads get one response and revisit records.
-Indexing: lines keyed by reversed-host URL are range-sorted into compressed
-blocks (the ``.cdx.gz`` files), and one directory row per block holds its first
-key and byte range.  Reading: binary search over files, then over a file's
-directory rows, then within the block; then a range read of the record.
-
-File names are unique to a task attempt and only a committed attempt's rows
-enter the index, so lost executors leave unreferenced files at worst.
+Indexing: lines keyed by reversed-host URL and page are range-sorted into
+compressed blocks (the ``.cdx.gz`` files); a sparse directory beside each file
+(``.dir``) holds every block's first key and byte range.  Reading: binary search
+over the files' first keys, then over a file's directory, then within the block;
+then a range read of the record.  Bulk reads look all their keys up in that way,
+in key order, so a task loads each directory and block that it needs once.
+
+A digest is computed once as 20 bytes and stored; base32 is made where a record
+or a result is written.  File names are unique to a task attempt and only a
+committed attempt's rows enter the index, so lost executors leave unreferenced
+files at worst.
 
 Defined results: null html is an empty payload; a null URL is the empty URL;
-equal rows are each a record (of the largest page_id, each is a response);
-rows without page_id are left out;
-an empty table gives empty archives; further columns are ignored.
+equal rows are each a record (of the largest page_id, each is a response); rows
+of one page_id with different payloads are records of their own; a row without
+page_id revisits a page with its payload, else it is a response; an empty table
+gives empty archives; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,31 +33,29 @@ from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_path, text_or_empty, write_scratch
+from .common import range_count, scratch_path, text_or_empty, write_scratch
 
 BLOCK_LINES = 1024
 LEVEL = 3
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 CAPTURED = "2024-01-01T00:00:00Z"
+NO_PAGE = "-"
 INDEX = "surt string, page_id bigint, record_type string, payload_digest string, file string, offset bigint, length bigint"
-DIRECTORY = "first_key string, first_page bigint, cdx string, offset bigint, length bigint, lines bigint"
-#: RFC 4648 letters.
-BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+FILES = "first_key string, first_page bigint, name string, blocks bigint"
 
 
-def base32_sha1(data: Column) -> Column:
-    """Upper-case base32 of the SHA-1: eight groups of 20 bits, four letters each."""
-    digest = F.sha1(data)
+def sha1_bytes(data: Column) -> Column:
+    """The 20 bytes; the default keeps a join from adding a null test, which would
+    digest once more."""
+    return F.coalesce(F.unhex(F.sha1(data)), F.lit(b""))
 
-    def letters(k: int) -> list[Column]:
-        bits = F.conv(F.substring(digest, 5 * k + 1, 5), 16, 10).cast("int")
-        return [F.substring(F.lit(BASE32), F.shiftright(bits, shift).bitwiseAND(31) + 1, F.lit(1)) for shift in (15, 10, 5, 0)]
 
-    return F.concat(*[c for k in range(8) for c in letters(k)])
+def base32(digest: bytes) -> str:
+    return base64.b32encode(digest).decode("ascii")
 
 
 def surt(url: str) -> str:
@@ -73,19 +76,19 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def record_id(page_id: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def record_id(page_id: int | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"
 
 
-def record(page_id: int, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One compressed record."""
     body = HTTP if refers_to is not None else HTTP + payload
     lines = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Page-ID: {page_id}", f"WARC-Date: {CAPTURED}",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Page-ID: {NO_PAGE if page_id is None else page_id}", f"WARC-Date: {CAPTURED}",
         f"WARC-Target-URI: {quote(url, safe=chr(37) + '/?=&:,;()~+*!@$#' + chr(39))}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}",
     ]
     if refers_to is not None:
-        lines += [f"WARC-Refers-To: {record_id(refers_to)}", f"WARC-Refers-To-Page-ID: {refers_to}", f"WARC-Profile: {PROFILE}"]
+        lines += [f"WARC-Refers-To: {record_id(refers_to, digest)}", f"WARC-Refers-To-Page-ID: {refers_to}", f"WARC-Profile: {PROFILE}"]
     packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
     return packer.compress("\r\n".join(lines).encode("utf-8") + b"\r\n\r\n" + body + b"\r\n\r\n") + packer.flush()
 
@@ -100,21 +103,21 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def payload_info(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
-    """page_id, payload_digest, refers_to: null for a response."""
-    narrow = pages.select(pages[id_col].alias("page_id"), text_or_empty(html_col).alias("html"))
-    narrow = narrow.select("page_id", base32_sha1(F.col("html").cast("binary")).alias("payload_digest"), F.octet_length("html").alias("n")).distinct()
-    latest = narrow.where(F.col("n") >= least_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("latest"))
+    """page_id, digest, refers_to (null for a response), once for equal rows."""
+    html = text_or_empty(html_col)
+    narrow, _ = write_scratch(pages.select(pages[id_col].alias("page_id"), sha1_bytes(html.cast("binary")).alias("digest"), F.octet_length(html).alias("n")), "payload-digests")
+    latest = narrow.where(F.col("n") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("latest"))
     latest, _ = write_scratch(latest, "latest-captures")  # a stored side, so that a payload of very many pages can be split
-    refers = F.when((F.col("n") >= least_bytes) & (F.col("latest") != F.col("page_id")), F.col("latest"))
-    return narrow.join(latest, "payload_digest", "left").select("page_id", "payload_digest", refers.alias("refers_to"))
+    refers = F.when((F.col("n") >= least_bytes) & ~F.col("latest").eqNullSafe(F.col("page_id")), F.col("latest"))
+    return narrow.join(latest, "digest", "left").select("page_id", "digest", refers.alias("refers_to")).distinct()
 
 
 def write_archives(pages: DataFrame, out_dir: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
     """Write all records; return the index lines (already stored)."""
-    info = payload_info(pages, id_col, html_col, least_bytes)
+    info = payload_info(pages, id_col, html_col, least_bytes).select(F.col("page_id").alias("of_page"), F.col("digest").alias("of_digest"), "refers_to")
     wide = pages.select(pages[id_col].alias("page_id"), text_or_empty(url_col).alias("url"), text_or_empty(html_col).cast("binary").alias("html"))
-    wide = wide.withColumn("payload_digest", base32_sha1(F.col("html"))).join(info, ["page_id", "payload_digest"])
-    wide = wide.select("page_id", "url", "html", "payload_digest", "refers_to")
+    wide = wide.withColumn("digest", sha1_bytes(F.col("html")))
+    wide = wide.join(info, (wide["digest"] == info["of_digest"]) & wide["page_id"].eqNullSafe(info["of_page"])).select("page_id", "url", "html", "digest", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _filesystem(out_dir)
@@ -125,10 +128,10 @@ def write_archives(pages: DataFrame, out_dir: str, id_col: str = "page_id", url_
                 lines = []
                 for page, url, html, digest, refers in zip(*batch.columns, strict=True):
                     out = out or fs.open_output_stream(f"{root}/{name}", compression=None)
-                    page, url, refers = page.as_py(), url.as_py(), refers.as_py()
-                    data = record(page, url, html.as_py(), digest.as_py(), refers)
+                    page, url, digest, refers = page.as_py(), url.as_py(), base32(digest.as_py()), refers.as_py()
+                    data = record(page, url, html.as_py(), digest, refers)
                     out.write(data)
-                    lines.append((surt(url), page, "response" if refers is None else "revisit", digest.as_py(), name, at, len(data)))
+                    lines.append((surt(url), page, "response" if refers is None else "revisit", digest, name, at, len(data)))
                     at += len(data)
                 if lines:
                     yield _batch(lines, INDEX)
@@ -139,6 +142,11 @@ def write_archives(pages: DataFrame, out_dir: str, id_col: str = "page_id", url_
     return write_scratch(wide.mapInArrow(run, INDEX), "capture-lines")[0]
 
 
+def _place(key: str, page: int | None) -> tuple[str, bool, int]:
+    """Where a line stands in the order: no page comes first."""
+    return key, page is not None, page or 0
+
+
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     kinds = {"string": pa.string(), "bigint": pa.int64()}
     names, types = zip(*(x.split() for x in schema.split(", ")), strict=True)
@@ -146,22 +154,23 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 def build_index(lines: DataFrame, out_dir: str, block_lines: int = BLOCK_LINES) -> DataFrame:
-    """Range-sort the lines into compressed blocks; return the sparse directory."""
-    parts = max(2, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Range-sort the lines into compressed blocks; return one row for each index
+    file with its first key.  The blocks' directory stands beside the file."""
+    parts = range_count(lines, 160)
     ordered = lines.repartitionByRange(parts, "surt", "page_id").sortWithinPartitions("surt", "page_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _filesystem(out_dir)
         fs.create_dir(root, recursive=True)
-        name, at, out, held, rows = f"{uuid.uuid4().hex}.cdx.gz", 0, None, [], []
+        name, at, out, held, rows = uuid.uuid4().hex, 0, None, [], []
 
         def block(held):
             nonlocal at, out
-            out = out or fs.open_output_stream(f"{root}/{name}", compression=None)
+            out = out or fs.open_output_stream(f"{root}/{name}.cdx.gz", compression=None)
             packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-            data = packer.compress("".join(" ".join(map(str, x)) + "\n" for x in held).encode("utf-8")) + packer.flush()
+            data = packer.compress("".join(" ".join(NO_PAGE if x is None else str(x) for x in line) + "\n" for line in held).encode("utf-8")) + packer.flush()
             out.write(data)
-            rows.append((held[0][0], held[0][1], name, at, len(data), len(held)))
+            rows.append((held[0][0], held[0][1], at, len(data)))
             at += len(data)
 
         try:
@@ -176,32 +185,105 @@ def build_index(lines: DataFrame, out_dir: str, block_lines: int = BLOCK_LINES)
             if out is not None:
                 out.close()
         if rows:
-            yield _batch(rows, DIRECTORY)
+            with fs.open_output_stream(f"{root}/{name}.dir", compression=None) as side:
+                side.write("".join(f"{key} {NO_PAGE if page is None else page} {offset} {n}\n" for key, page, offset, n in rows).encode("utf-8"))
+            yield _batch([(rows[0][0], rows[0][1], name, len(rows))], FILES)
+
+    return write_scratch(ordered.mapInArrow(run, FILES), "capture-files")[0]
 
-    return write_scratch(ordered.mapInArrow(run, DIRECTORY), "capture-directory")[0]
 
+class CaptureIndex:
+    """Binary search at every level, then range reads.
 
-def _block_lines(data: bytes) -> list[tuple[str, int, str, str, str, int, int]]:
-    out = []
-    for line in zlib.decompress(data, 31).decode("utf-8").splitlines():
-        key, page, kind, digest, name, at, n = line.split(" ")
-        out.append((key, int(page), kind, digest, name, int(at), int(n)))
-    return out
+    Held: the first key of every index file (as many as range partitions), the
+    directory of one file and one block.  A copy works inside a task.
+    """
 
+    def __init__(self, files: DataFrame, out_dir: str):
+        rows = sorted((_place(r["first_key"], r["first_page"]), r["name"]) for r in files.collect())
+        self.out_dir, self.firsts, self.names = out_dir, [r[0] for r in rows], [r[1] for r in rows]
+        self._directory = self._block = (None, None)
 
-def read_archives(spark: SparkSession, directory: DataFrame, out_dir: str) -> DataFrame:
-    """Read every record back through the index: page_id, payload_bytes,
-    payload_digest, record_type, refers_to; a revisit takes the payload of the
-    response that it names."""
+    def _open(self, path: str) -> pafs.NativeFile:
+        fs, root = _filesystem(self.out_dir)
+        return fs.open_input_file(f"{root}/{path}")
+
+    def directory(self, name: str) -> tuple[list[tuple], list[tuple[int, int]]]:
+        """First places and byte ranges of a file's blocks."""
+        if self._directory[0] != name:
+            with self._open(f"{name}.dir") as f:
+                rows = [x.split(" ") for x in f.read().decode("utf-8").splitlines()]
+            self._directory = name, ([_place(k, None if p == NO_PAGE else int(p)) for k, p, _, _ in rows], [(int(at), int(n)) for _, _, at, n in rows])
+        return self._directory[1]
+
+    def block(self, name: str, at: int, n: int) -> tuple[list[tuple], list[tuple]]:
+        """Places and lines of a block."""
+        if self._block[0] != (name, at):
+            with self._open(f"{name}.cdx.gz") as f:
+                data = f.read_at(n, at)
+            lines = []
+            for line in zlib.decompress(data, 31).decode("utf-8").splitlines():
+                key, page, kind, digest, file, offset, length = line.split(" ")
+                lines.append((key, None if page == NO_PAGE else int(page), kind, digest, file, int(offset), int(length)))
+            self._block = (name, at), ([_place(x[0], x[1]) for x in lines], lines)
+        return self._block[1]
+
+    def between(self, first: tuple, last: tuple) -> Iterator[tuple]:
+        """Index lines from one place to another, both included."""
+        at = max(0, bisect.bisect_left(self.firsts, first) - 1)
+        while at < len(self.names) and self.firsts[at] <= last:
+            firsts, ranges = self.directory(self.names[at])
+            k = max(0, bisect.bisect_left(firsts, first) - 1)
+            while k < len(ranges) and firsts[k] <= last:
+                places, lines = self.block(self.names[at], *ranges[k])
+                for j in range(bisect.bisect_left(places, first), len(lines)):
+                    if places[j] > last:
+                        return
+                    yield lines[j]
+                k += 1
+            at += 1
 
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = _filesystem(out_dir)
+    def captures(self, url: str) -> list[tuple[dict[str, str], bytes]]:
+        """Header fields and payload of all captures of a URL."""
+        key, out = surt(url), []
+        for line in self.between((key, False, 0), (key, True, 2**63)):
+            with self._open(line[4]) as w:
+                out.append(parse(w.read_at(line[6], line[5])))
+        return out
+
+
+def look_up(index: CaptureIndex, keys: DataFrame) -> DataFrame:
+    """Index lines of all captures of keys (url, page_id)."""
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([surt(x) for x in batch.column(0).to_pylist()], pa.string()), batch.column(1)], names=["surt", "page_id"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
         for batch in batches:
-            for row in batch.to_pylist():
-                with fs.open_input_file(f"{root}/{row['cdx']}") as f:
-                    lines = _block_lines(f.read_at(row["length"], row["offset"]))
+            lines = []
+            for key, page in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                place = _place(key, page)
+                if place != before:  # equal keys stand together and are looked up once
+                    lines += index.between(place, place)
+                before = place
+            if lines:
                 yield _batch(lines, INDEX)
 
+    named = keys.mapInArrow(name, "surt string, page_id bigint")
+    parts = max(2, len(index.names))  # as the index is cut, so that a task meets few files
+    return named.repartitionByRange(parts, "surt", "page_id").sortWithinPartitions("surt", "page_id").mapInArrow(search, INDEX)
+
+
+def read_records(lines: DataFrame, out_dir: str, parts: int) -> DataFrame:
+    """The records of index lines by range reads: page_id, payload_bytes,
+    payload_digest, record_type, refers_to; a revisit takes the size of the
+    response that it names by page and digest.
+
+    ``parts`` is fixed, since lines are too small to tell what their records cost.
+    """
+
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _filesystem(out_dir)
         name, f = None, None
@@ -213,23 +295,22 @@ def read_archives(spark: SparkSession, directory: DataFrame, out_dir: str) -> Da
                         f.close()
                     name, f = file, fs.open_input_file(f"{root}/{file}")
                 fields, payload = parse(f.read_at(n, at))
-                digest = base64.b32encode(hashlib.sha1(payload).digest()).decode("ascii")
-                refers = fields.get("WARC-Refers-To-Page-ID")
-                if refers is None and fields["WARC-Payload-Digest"] != f"sha1:{digest}":
+                refers, page = fields.get("WARC-Refers-To-Page-ID"), fields["WARC-Page-ID"]
+                digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+                if refers is None and digest != base32(hashlib.sha1(payload).digest()):
                     raise ValueError(f"record {fields['WARC-Record-ID']} is damaged")
-                rows.append((int(fields["WARC-Page-ID"]), len(payload) if refers is None else None, digest if refers is None else None, fields["WARC-Type"], None if refers is None else int(refers)))
+                rows.append((None if page == NO_PAGE else int(page), len(payload) if refers is None else None, digest, fields["WARC-Type"], None if refers is None else int(refers)))
             if rows:
                 yield _batch(rows, READ)
         if f is not None:
             f.close()
 
-    lines = directory.repartition("cdx").mapInArrow(expand, INDEX)
-    ordered = lines.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    ordered = lines.select("file", "offset", "length").repartition(parts, "file").sortWithinPartitions("file", "offset")
     read, _ = write_scratch(ordered.mapInArrow(fetch, READ), "records-read")
     responses = read.where("record_type = 'response'")
     # equal rows give several responses of one page with the same payload
     of = responses.select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest").dropDuplicates(["refers_to", "payload_digest"])
-    revisits = read.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to").join(of, "refers_to")
+    revisits = read.where("record_type = 'revisit'").drop("payload_bytes").join(of, ["refers_to", "payload_digest"])
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return responses.select(columns).union(revisits.select(columns))
 
@@ -237,41 +318,10 @@ def read_archives(spark: SparkSession, directory: DataFrame, out_dir: str) -> Da
 READ = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 
 
-class CaptureIndex:
-    """Look captures up by URL: binary search at every level, then range reads."""
-
-    def __init__(self, directory: DataFrame, out_dir: str):
-        self.directory, self.out_dir = directory, out_dir
-        # one row for each index file: as many as range partitions
-        rows = directory.groupBy("cdx").agg(F.min(F.struct("first_key", "first_page")).alias("first")).orderBy("first").collect()
-        self.firsts = [r["first"]["first_key"] for r in rows]
-        self.files = [r["cdx"] for r in rows]
-
-    def captures(self, url: str) -> list[tuple[dict[str, str], bytes]]:
-        """Header fields and payload of all captures of a URL."""
-        key, out = surt(url), []
-        fs, root = _filesystem(self.out_dir)
-        at = max(0, bisect.bisect_left(self.firsts, key) - 1)
-        while at < len(self.files) and self.firsts[at] <= key:
-            blocks = [tuple(r) for r in self.directory.where(F.col("cdx") == self.files[at]).select("first_key", "offset", "length").orderBy("offset").collect()]
-            keys = [b[0] for b in blocks]
-            k = max(0, bisect.bisect_left(keys, key) - 1)
-            with fs.open_input_file(f"{root}/{self.files[at]}") as f:
-                while k < len(blocks) and keys[k] <= key:
-                    lines = _block_lines(f.read_at(blocks[k][2], blocks[k][1]))
-                    for line in lines[bisect.bisect_left([x[0] for x in lines], key) :]:
-                        if line[0] != key:
-                            break
-                        with fs.open_input_file(f"{root}/{line[4]}") as w:
-                            out.append(parse(w.read_at(line[6], line[5])))
-                    k += 1
-            at += 1
-        return out
-
-
-def round_trip(pages: DataFrame, least_bytes: int = 0, **columns) -> DataFrame:
-    """Write, index and read back all pages below the shared folder."""
-    spark = pages.sparkSession
-    out_dir = scratch_path(spark, "warc")
-    directory = build_index(write_archives(pages, out_dir, least_bytes=least_bytes, **columns), out_dir)
-    return read_archives(spark, directory, out_dir)
+def round_trip(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Write, index, and read back all pages below the shared folder: every page's
+    URL is looked up through the index."""
+    out_dir = scratch_path(pages.sparkSession, "warc")
+    index = CaptureIndex(build_index(write_archives(pages, out_dir, id_col, url_col, html_col, least_bytes), out_dir), out_dir)
+    keys = pages.select(text_or_empty(url_col).alias("url"), pages[id_col].cast("bigint").alias("page_id"))
+    return read_records(look_up(index, keys), out_dir, max(2, len(index.names)))

@@ -359,6 +359,18 @@ def test_warc(pages, least):
     assert warc.round_trip(pages.limit(0)).collect() == []
 
 
+def test_warc_clashing_ids(spark):
+    """One id with two payloads, rows without id, repeated rows, and a URL over many blocks."""
+    rows = [(1, "http://a.example/", "<p>x</p>"), (3, "http://a.example/", "<p>x</p>"), (3, "http://a.example/", "<p>other</p>"), (None, "http://b.example/", "<p>x</p>"), (None, None, "<p>lone</p>"), (2, None, None), (2, None, None)]
+    rows += [(100 + i, "http://hot.example/", f"<p>{i % 300}</p>") for i in range(3000)]
+    top = {}
+    for i, _, html in rows:
+        top[html] = max(x for x in (i, top.get(html)) if x is not None) if (i, top.get(html)) != (None, None) else None
+    want = sorted((str(i), len((h or "").encode()), brute.sha1_base32((h or "").encode()), "response" if top[h] == i else "revisit", str(None if top[h] == i else top[h])) for i, _, h in rows)
+    found = warc.round_trip(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert sorted((str(r["page_id"]), r["payload_bytes"], r["payload_digest"], r["record_type"], str(r["refers_to"])) for r in found) == want
+
+
 def test_capture_index(spark, pages):
     out = scratch_path(spark, "warc")
     many = pages.union(spark.createDataFrame([(100 + i, f"http://host{i % 7}.example/p/{i}", f"<p>{i}</p>", "z") for i in range(300)], pages.schema))
