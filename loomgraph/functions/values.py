@@ -6,7 +6,7 @@ the kind and whose other fields hold the value; an operator on them is lifted
 over the kinds that occur.
 
 Null is a value: it equals itself, and every ordering against another value
-is false.  Arithmetic on Null gives Null.
+is false.  Arithmetic on Null is an error.
 """
 
 from __future__ import annotations
@@ -169,6 +169,35 @@ def equals(a: Val, b: Val) -> Column:
     return both_null
 
 
+def join_key(v: Val) -> Column:
+    """A struct that is equal for two values exactly if ``equals`` holds, whatever
+    their kinds, so that Spark can join on it: never null itself."""
+
+    def key(rank: int, whole=None, fraction=None, text=None) -> Column:
+        parts = (F.lit(rank).cast("tinyint").alias("r"), *[(F.lit(None) if c is None else c).cast(t).alias(n) for c, t, n in ((whole, "bigint", "i"), (fraction, "double", "f"), (text, "string", "s"))])
+        return F.struct(*parts)
+
+    null = key(0)
+    if v.kind == Kind.MIXED:
+        out = F.when(v.col["t"] == 0, null)
+        for m in members(v):
+            out = out.when(v.col["t"] == int(m.kind), join_key(m))
+        return F.coalesce(out, null)
+    if v.kind == Kind.NULL:
+        return null
+    if v.kind == Kind.FLOAT:
+        fits = (v.col >= -(2.0**63)) & (v.col < 2.0**63)
+        whole = F.when(fits, v.col).cast("bigint")
+        own = F.when(fits & (whole.cast("double") == v.col), key(2, whole=whole)).otherwise(key(3, fraction=v.col))
+    else:
+        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        own = {
+            Kind.BOOL: lambda: key(1, whole=v.col.cast("int")), Kind.INT: lambda: key(2, whole=v.col), Kind.STRING: lambda: key(4, text=v.col),
+            Kind.DATETIME: lambda: key(5, whole=F.timestamp_diff("MICROSECOND", epoch, v.col)), Kind.DURATION: lambda: key(6, text=v.col.cast("string")),
+        }[v.kind]()
+    return F.when(v.col.isNull(), null).otherwise(own)
+
+
 def _ordered(a: Val, b: Val, less: bool, or_equal: bool) -> Column:
     if a.kind == Kind.MIXED:
         return _lift_bool(a, lambda m: _ordered(m, b, less, or_equal))
@@ -271,6 +300,20 @@ def ieee_divide(a: Column, b: Column) -> Column:
     return F.when(b == 0, zero).otherwise(a / F.when(b != 0, b))
 
 
+def _not_null(v: Val, op: str) -> Val:
+    bad = F.raise_error(F.lit(f"cannot {op} Null")).cast(SPARK_TYPE[v.kind])
+    return Val(v.kind, F.coalesce(v.col, bad))
+
+
+def _int_power(x: Column, y: Column) -> Column:
+    """Exact, within 64 bits: of a base beyond 1 no power over the 63rd fits, and
+    for 0, 1 and -1 the power of the same parity will do."""
+    bad = lambda what: F.raise_error(F.lit(what)).cast("bigint")
+    times = F.when(y < 64, y).otherwise(64 + y % 2).cast("int")
+    made = F.aggregate(F.array_repeat(x, times), F.lit(1).cast("bigint"), lambda a, b: F.try_multiply(a, b))
+    return F.when(y < 0, bad("Int to a negative power")).otherwise(F.coalesce(made, bad("power beyond 64 bits")))
+
+
 def arithmetic(op: str, a: Val, b: Val) -> Val:
     """a op b; kinds that do not go together raise QueryError."""
     if a.kind == Kind.MIXED:
@@ -278,7 +321,8 @@ def arithmetic(op: str, a: Val, b: Val) -> Val:
     if b.kind == Kind.MIXED:
         return _lift_val(b, lambda m: arithmetic(op, a, m))
     if Kind.NULL in (a.kind, b.kind):
-        return Val(Kind.NULL, F.lit(None))
+        raise QueryError(f"cannot {op} {a.kind.name} and {b.kind.name}")
+    a, b = _not_null(a, op), _not_null(b, op)
     kinds = (a.kind, b.kind)
     numbers = a.kind in NUMERIC and b.kind in NUMERIC
     whole = kinds == (Kind.INT, Kind.INT)
@@ -320,7 +364,7 @@ def arithmetic(op: str, a: Val, b: Val) -> Val:
         if numbers:
             return Val(Kind.FLOAT, ieee_divide(_double(a), _double(b)))
     elif op == "power" and numbers:
-        return Val(Kind.INT, F.pow(x, y).cast("bigint")) if whole else Val(Kind.FLOAT, F.pow(x, y))
+        return Val(Kind.INT, _int_power(x, y)) if whole else Val(Kind.FLOAT, F.pow(x, y))
     elif op == "modulo" and numbers:
         if whole:
             return Val(Kind.INT, F.when(y == 0, F.raise_error(F.lit("modulo by zero")).cast("bigint")).otherwise(x % F.when(y != 0, y)))
@@ -351,8 +395,10 @@ def _float(f: Callable[[Column], Column]) -> Callable[[Val], Val]:
 
 
 def _rounded(c: Column) -> Column:
-    """Half away from zero, at any size."""
-    return F.when(F.abs(c) < 2.0**52, F.signum(c) * F.floor(F.abs(c) + 0.5).cast("double")).otherwise(c)
+    """Half away from zero, at any size; the fraction is compared, since adding a
+    half would itself round."""
+    whole = F.floor(F.when(F.abs(c) < 2.0**52, F.abs(c))).cast("double")
+    return F.when(F.abs(c) < 2.0**52, F.signum(c) * (whole + F.when(F.abs(c) - whole >= 0.5, 1.0).otherwise(0.0))).otherwise(c)
 
 
 def _whole(f: Callable[[Column], Column]) -> Callable[[Column], Column]:

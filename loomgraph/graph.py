@@ -92,6 +92,13 @@ class PropertyGraph:
     def with_schema(cls, spark: SparkSession, schema: S.Schema) -> PropertyGraph:
         return cls(spark, schema)
 
+    @staticmethod
+    def with_connector(spark: SparkSession, connector, data=None):
+        """A graph whose connector is at hand for ingest and export."""
+        from .sources.connectors import ConnectedGraph
+
+        return ConnectedGraph(spark, connector, data)
+
     @classmethod
     def with_plugins(cls, spark: SparkSession, plugins: list[Plugin]) -> PropertyGraph:
         return cls(spark, plugins=plugins)
@@ -249,11 +256,9 @@ class PropertyGraph:
             for part in _parts(context["edges"], framed):
                 if framed:
                     df = frames.to_spark(self.spark, part[0])
-                    loaded = frames.load_edges(df, part[1], part[2], context["groups"], edge_id, self._next_edge, order_by, ends)
-                    if edge_id is None:
-                        self._next_edge += df.count()
-                    else:
-                        self._next_edge = None
+                    start = self._next_id() if edge_id is None else 0
+                    loaded = frames.load_edges(df, part[1], part[2], context["groups"], edge_id, start, order_by, ends)
+                    self._next_edge = None if loaded.rows is None else start + loaded.rows
                 else:
                     start = self._next_id()
                     loaded = frames.load_tuples(self.spark, part, "edge", context["groups"], start)
@@ -366,12 +371,28 @@ class PropertyGraph:
 
     # --- removing
 
-    def remove_nodes(self, nodes, bypass_plugins: bool = False) -> None:
-        """Nodes with their edges and memberships; unknown literal ids raise."""
+    def _taken(self, entity: str, selector):
+        """Attributes of what is about to go: a dictionary for one literal id, one by
+        id for a list, a frame for a query or a frame of ids."""
+        if callable(selector) or isinstance(selector, (DataFrame, O.Operand)):
+            f = self._frames[entity]
+            _, ids = self._ids(entity, selector)
+            columns = [F.when(present, val.col).alias(n) for n in sorted(f.attributes) for present, val in [self.attribute_of(entity, n)]]
+            return f.df.join(ids, ID, "left_semi").select(F.col(ID).alias("id"), *columns)
+        from .indexers import Indexer
+
+        return Indexer(self, entity)[selector]
+
+    def remove_nodes(self, nodes, bypass_plugins: bool = False):
+        """Nodes with their edges and memberships; unknown literal ids raise.
+
+        Returns the attributes that went: see ``_taken``.
+        """
+        taken = []
 
         def run(context: dict) -> None:
+            taken.append(self._taken("node", context["nodes"]))
             test, ids = self._ids("node", context["nodes"])
-            self._known("node", context["nodes"], ids)
             n, e = self._frames["node"], self._frames["edge"]
             edges = e.df
             for end in (SRC, DST):
@@ -380,15 +401,20 @@ class PropertyGraph:
             self._frames = _Frames({"node": Loaded(self._without(n.df, ID, test, ids), n.attributes, n.ids), "edge": Loaded(edges, e.attributes, e.ids)})
 
         self._hooked("remove_node", {"nodes": nodes}, run, bypass_plugins)
+        return taken[0]
+
+    def remove_edges(self, edges, bypass_plugins: bool = False):
+        """Edges; returns the attributes that went."""
+        taken = []
 
-    def remove_edges(self, edges, bypass_plugins: bool = False) -> None:
         def run(context: dict) -> None:
+            taken.append(self._taken("edge", context["edges"]))
             test, ids = self._ids("edge", context["edges"])
-            self._known("edge", context["edges"], ids)
             e = self._frames["edge"]
             self._frames["edge"] = Loaded(self._without(e.df, ID, test, ids), e.attributes, e.ids)
 
         self._hooked("remove_edge", {"edges": edges}, run, bypass_plugins)
+        return taken[0]
 
     def _known(self, entity: str, selector, ids: DataFrame | None) -> None:
         if ids is not None:
@@ -603,18 +629,33 @@ class PropertyGraph:
         def run(context: dict) -> None:
             old, self.schema = self.schema, context["schema"].copy()
             try:
-                for entity, f in self._frames.items():
-                    for g in [None, *self._groups]:
-                        members = f.df.where(F.size(GROUPS) == 0) if g is None else f.df.where(F.array_contains(GROUPS, g))
-                        if not members.isEmpty():
-                            held = {n: a for n, a in f.attributes.items() if not a[1] or not members.where(quoted(presence_column(n))).isEmpty()}
-                            self._learn(entity, Loaded(members, held, f.ids), [g], True)
+                self._learn_all()
             except SchemaError:
                 self.schema = old
                 raise
 
         self._hooked("set_schema", {"schema": schema}, run, bypass_plugins)
 
+    def set_schema_unchecked(self, schema: S.Schema) -> None:
+        """Swap the schema; the data is not looked at and no hook runs."""
+        self.schema = schema.copy()
+
+    def infer_schema(self) -> S.Schema:
+        """The schema that the data alone gives; the graph keeps its own."""
+        other = self.clone()
+        other.schema = S.Schema()
+        other._learn_all()
+        return other.schema
+
+    def _learn_all(self) -> None:
+        """Check all data against the schema, or widen it."""
+        for entity, f in self._frames.items():
+            for g in [None, *self._groups]:
+                members = f.df.where(F.size(GROUPS) == 0) if g is None else f.df.where(F.array_contains(GROUPS, g))
+                if not members.isEmpty():
+                    held = {n: a for n, a in f.attributes.items() if not a[1] or not members.where(quoted(presence_column(n))).isEmpty()}
+                    self._learn(entity, Loaded(members, held, f.ids), [g], True)
+
     def freeze_schema(self, bypass_plugins: bool = False) -> None:
         self._hooked("freeze_schema", {}, lambda _c: self.schema.freeze(), bypass_plugins)
 

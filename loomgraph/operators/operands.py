@@ -138,9 +138,12 @@ class WithMany(Op):
 
     def apply(self, rows):
         many = self.other.rows()
-        listed = many.df.select(many.val.col.alias("__m"))
-        condition = V.equals(rows.val, Val(many.val.kind, F.col("__m")))
-        return replace(rows, df=rows.df.join(listed, condition, "left_semi" if self.inside else "left_anti"))
+        how = "left_semi" if self.inside else "left_anti"
+        if many.val.kind == rows.val.kind != Kind.MIXED:
+            listed = many.df.select(many.val.col.alias("__m"))
+            return replace(rows, df=rows.df.join(listed, rows.val.col.eqNullSafe(F.col("__m")), how))
+        listed = many.df.select(V.join_key(many.val).alias("__m"))  # one key for all kinds, for a join on equal keys
+        return replace(rows, df=rows.df.join(listed, V.join_key(rows.val) == F.col("__m"), how))
 
     def clone(self):
         return WithMany(self.other._snapshot(), self.inside)

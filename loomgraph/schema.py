@@ -161,6 +161,11 @@ class Schema:
     ungrouped: GroupSchema = field(default_factory=GroupSchema)
     provided: bool = False
 
+    @staticmethod
+    def infer(graph) -> Schema:
+        """The schema that a graph's data alone gives."""
+        return graph.infer_schema()
+
     def group(self, name: str) -> GroupSchema:
         if name not in self.groups:
             raise SchemaError(f"group {name!r} has no schema")

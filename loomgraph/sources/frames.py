@@ -13,15 +13,18 @@ from ..errors import ConversionError
 from ..functions import values as V
 from ..functions.values import Kind, Val
 from ..plans.rows import DST, END_GROUP, GROUPS, ID, SRC, attribute_column, presence_column, quoted
+from .scratch import write_scratch
 
 
 @dataclass
 class Loaded:
-    """A frame with its attributes: name -> (kind, has a presence flag)."""
+    """A frame with its attributes: name -> (kind, has a presence flag), and the
+    number of its rows where numbering them has told it."""
 
     df: DataFrame
     attributes: dict[str, tuple[Kind, bool]]
     ids: Kind
+    rows: int | None = None
 
 
 def to_spark(spark: SparkSession, frame) -> DataFrame:
@@ -61,12 +64,13 @@ def load_edges(df: DataFrame, source: str, target: str, groups: list[str], edge_
     """Ids come from an integer column, or are numbered from ``start`` in the order given."""
     columns, attributes = _attributes(df, {source, target} | ({edge_id} if edge_id else set()))
     s, t = _id_value(df, source), _id_value(df, target)
+    rows = None
     if edge_id is None:
-        df, number = numbered(df, start, order_by)
+        df, number, rows = numbered(df, start, order_by)
     else:
         number = quoted(edge_id)
     slim = df.select(number.cast("bigint").alias(ID), s.col.alias(SRC), t.col.alias(DST), *end_groups(ends), group_array(groups), *columns)
-    return Loaded(slim, attributes, V.common_kind(s.kind, t.kind))
+    return Loaded(slim, attributes, V.common_kind(s.kind, t.kind), rows)
 
 
 def end_groups(ends: tuple[str | None, str | None] = (None, None)) -> list:
@@ -77,20 +81,29 @@ def group_array(groups: list[str]):
     return (F.array(*[F.lit(g) for g in groups]) if groups else F.array().cast("array<string>")).alias(GROUPS)
 
 
-def numbered(df: DataFrame, start: int, order_by: list[str] | None) -> tuple[DataFrame, object]:
-    """Dense numbers in row order without a one-partition window: sort by range,
-    count each partition (one small row of each), add offsets."""
-    ordered = df.orderBy(*[quoted(c) for c in order_by or df.columns])
-    ordered = ordered.withColumn("__m", F.monotonically_increasing_id())
-    part = F.shiftright("__m", 33)
-    counts = sorted((r["p"], r["n"]) for r in ordered.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
-    offsets, at = {}, start
+def numbered(df: DataFrame, start: int, order_by: list[str] | None) -> tuple[DataFrame, object, int]:
+    """Dense numbers in row order without a one-partition window: (frame, number,
+    count).
+
+    The rows are sorted by range and stored once with their place in their
+    partition, so that counting the partitions (one small row of each) and every
+    later query see the same places.  Ties go by the other columns.
+    """
+    spark = df.sparkSession
+    given = list(order_by or [])
+    ties = [f.name for f in df.schema.fields if f.name not in given and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    ordered = df.orderBy(*[quoted(c) for c in [*given, *ties]])
+    place = F.monotonically_increasing_id()
+    placed, _ = write_scratch(ordered.withColumn("__part", F.shiftright(place, 33)).withColumn("__row", place.bitwiseAND((1 << 33) - 1)), "numbered")
+    counts = sorted((r["p"], r["n"]) for r in placed.groupBy(F.col("__part").alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+    offsets, at = [], start
     for p, n in counts:
-        offsets[p], at = at, at + n
-    if not offsets:
-        return ordered, F.lit(start)
-    table = F.create_map(*[F.lit(x) for p, o in offsets.items() for x in (p, o)])
-    return ordered, table[part] + F.col("__m").bitwiseAND((1 << 33) - 1)
+        offsets.append((p, at))
+        at += n
+    # one row for each partition of the sort
+    table = spark.createDataFrame(offsets, "__p bigint, __offset bigint")
+    met = placed.join(F.broadcast(table), placed["__part"] == table["__p"])
+    return met, F.col("__offset") + F.col("__row"), at - start
 
 
 def load_tuples(spark: SparkSession, rows: list[tuple], entity: str, groups: list[str], start: int = 0) -> Loaded:
