@@ -258,3 +258,43 @@ def test_stream(spark, tmp_path):
     q = ingest_nodes(g, stream, "id", str(tmp_path / "store"), str(tmp_path / "check"), group="s", availableNow=True)
     q.awaitTermination(60)
     assert ids(g.nodes_in_group("s")) == ["a", "b"]
+
+
+@pytest.mark.parametrize("order_by", [None, ["k"]])
+def test_numbered_edges(spark, order_by):
+    """Ids from a frame are dense, unique and the same in every query, however the
+    columns used change the plan."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "200")
+        wide = spark.range(60_000).selectExpr("concat('n', id % 7) as s", "concat('n', id % 11) as t", "id % 50 as k", "id as n", *[f"repeat(cast(id as string), {k}) as w{k}" for k in range(1, 9)])
+        g = PropertyGraph.from_dataframes(spark, (spark.range(11).selectExpr("concat('n', id) as i"), "i"))
+        g.add_edges([("n0", "n1", {"n": -1})])
+        g.add_edges((wide, "s", "t"), order_by=order_by)
+        g.add_edges((wide.limit(10), "s", "t"))
+        lines = g.edge_indices().collect()
+        assert sorted(r[0] for r in lines) == list(range(60_011))
+        first = {r["__id"]: r["a:n"] for r in g.edges.select("__id", "`a:n`").collect()}
+        second = {r["__id"]: r["a:n"] for r in g.edges.select("__id", "`a:n`", "__src", "`a:w8`").where("length(`a:w8`) > 0 or __id = 0").collect()}
+        assert {k: v for k, v in first.items() if k in second} == second and len(second) == 60_011
+        if order_by:
+            assert [first[i] % 50 for i in range(1, 60_001)] == sorted(first[i] % 50 for i in range(1, 60_001))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_removed_attributes(graph):
+    assert graph.remove_edges([0, 1]) == {0: {"w": 1.5}, 1: {}} and graph.remove_edges(2) == {"w": 2.0}
+    assert graph.remove_nodes(["a", "d"]) == {"a": {"x": 1, "s": "u"}, "d": {"x": None}}
+    gone = graph.remove_nodes(lambda n: (n.has_attribute("x"), n.index())[1])
+    assert [(r["id"], r["x"]) for r in gone.collect()] == [("b", 2)] and graph.node_count() == 1
+
+
+def test_schema_by_inference_and_unchecked(graph):
+    found = S.Schema.infer(graph)
+    assert set(found.groups["g"].nodes) == {"x", "s"} and found.ungrouped.nodes["x"].data_type.optional and not found.provided
+    other = S.Schema()
+    other.set_attribute("node", "q", S.AttributeDataType(S.DataType(frozenset({S.Kind.INT}))))
+    other.freeze()
+    graph.set_schema_unchecked(other)
+    assert graph.get_schema().provided and list(graph.get_schema().ungrouped.nodes) == ["q"]
