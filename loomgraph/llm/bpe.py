@@ -1,13 +1,14 @@
 """Byte-level BPE encoding and decoding by monoid tree reduction.
 
-A pre-token's bytes are cut in halves down to small leaves.  Leaves are merged
-by rank; two encoded neighbours are joined by looking at the tokens beside the
-cut.  The join is proved by the pair rule of BPE: a token sequence is *the*
-encoding of its bytes exactly if every adjacent token pair is the encoding of
-its own two tokens' bytes.  So, if the two tokens at the cut form such a pair,
-both sides stand as they are; otherwise a window around the cut is encoded
-anew and grown until the pairs at both of its edges hold.  Decoding is the
-concatenation of token bytes, which is associative, up the same tree.
+A pre-token that is no token itself is cut in halves down to single bytes, and
+the encodings of the halves are joined up the tree, by looking at the tokens
+beside the cut.  The join is proved by the pair rule of BPE: a token sequence is
+*the* encoding of its bytes exactly if every adjacent token pair is the encoding
+of its own two tokens' bytes.  So, if the two tokens at the cut form such a pair,
+both sides stand as they are; otherwise a window around the cut is encoded anew
+by ranks and grown until the pairs at both of its edges hold.  Short halves and
+pairs recur and are remembered.  Decoding is the concatenation of token bytes,
+which is associative, up the same tree.
 
 Defined results: null text is the empty text (no ids, digest of nothing);
 ties and repeated rows are encoded alike; an empty table gives an empty table;
@@ -26,35 +27,36 @@ from pyspark.sql import DataFrame
 
 from .common import pieces, text_or_empty
 
-LEAF_BYTES = 48
 CACHE_ENTRIES = 200_000
+#: Halves up to so many bytes are remembered.
+HALF_BYTES = 6
 
 
 class TreeBPE:
     """Encoder and decoder over one rank table."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf_bytes: int = LEAF_BYTES):
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.split = regex.compile(pattern)
         self.bytes_of = {i: b for b, i in ranks.items()}
         # every way to make a token of two others: (left, right) -> token
         self.merges = {(ranks[b[:k]] << 32) | ranks[b[k:]]: i for b, i in ranks.items() for k in range(1, len(b)) if b[:k] in ranks and b[k:] in ranks}
         self.single = [ranks.get(bytes([x]), -1) for x in range(256)]
-        self.leaf_bytes = leaf_bytes
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, tuple[int, ...] | None] = {}
+        self._halves: dict[bytes, tuple[int, ...]] = {}
         self._cache: dict[str, tuple[str, int, bytes]] = {}
 
     @classmethod
-    def from_file(cls, path: str, pattern: str, leaf_bytes: int = LEAF_BYTES) -> TreeBPE:
+    def from_file(cls, path: str, pattern: str) -> TreeBPE:
         ranks = {}
         with open(path, "rb") as f:
             for line in f:
                 if line.strip():
                     token, rank = line.split()
                     ranks[base64.b64decode(token)] = int(rank)
-        return cls(ranks, pattern, leaf_bytes)
+        return cls(ranks, pattern)
 
-    def _leaf(self, data: bytes) -> list[int]:
+    def by_ranks(self, data: bytes) -> tuple[int, ...]:
         """Merge the lowest-ranked adjacent pair, leftmost first, until none is left."""
         single, get, none = self.single, self.merges.get, 1 << 62
         ids = [single[x] for x in data]
@@ -70,51 +72,54 @@ class TreeBPE:
                 made[k - 1] = get((ids[k - 1] << 32) | token, none)
             if k < len(made):
                 made[k] = get((token << 32) | ids[k + 1], none)
-        return ids
-
-    def _fits(self, a: int, b: int) -> bool:
-        """Whether a then b is the encoding of their joint bytes."""
-        key = (a, b)
-        got = self._pairs.get(key)
-        if got is None:
-            both = self.bytes_of[a] + self.bytes_of[b]
-            got = self._leaf(both) == [a, b]
-            if len(self._pairs) >= CACHE_ENTRIES:
-                self._pairs.clear()
-            self._pairs[key] = got
-        return got
+        return tuple(ids)
+
+    def _pair(self, a: int, b: int) -> tuple[int, ...] | None:
+        """The encoding of two tokens' joint bytes; None if that is a then b."""
+        key, pairs = (a << 32) | b, self._pairs
+        if key in pairs:
+            return pairs[key]
+        made = self.by_ranks(self.bytes_of[a] + self.bytes_of[b])
+        if len(pairs) >= CACHE_ENTRIES:
+            pairs.clear()
+        pairs[key] = out = None if made == (a, b) else made
+        return out
 
-    def join(self, left: list[int], right: list[int]) -> list[int]:
+    def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         """The encoding of the joint bytes of two encodings."""
-        if not left or not right or self._fits(left[-1], right[0]):
+        window = self._pair(left[-1], right[0]) if left and right else None
+        if window is None:
             return left + right
         i = j = 1
         while True:
-            i, j = min(i, len(left)), min(j, len(right))
-            window = self._leaf(self.decode(left[-i:]) + self.decode(right[:j]))
-            ok_left = i == len(left) or self._fits(left[-i - 1], window[0])
-            ok_right = j == len(right) or self._fits(window[-1], right[j])
+            ok_left = i == len(left) or self._pair(left[-i - 1], window[0]) is None
+            ok_right = j == len(right) or self._pair(window[-1], right[j]) is None
             if ok_left and ok_right:
                 return left[: len(left) - i] + window + right[j:]
-            i, j = i if ok_left else 2 * i, j if ok_right else 2 * j
+            i, j = i if ok_left else min(2 * i, len(left)), j if ok_right else min(2 * j, len(right))
+            window = self.by_ranks(self.decode(left[-i:]) + self.decode(right[:j]))
 
-    def encode_bytes(self, data: bytes) -> list[int]:
+    def encode_bytes(self, data: bytes) -> tuple[int, ...]:
         """Encode one pre-token; a whole-token match wins, as in the library."""
         whole = self.ranks.get(data)
-        if whole is not None:
-            return [whole]
-        return self._tree(data)
-
-    def _tree(self, data: bytes) -> list[int]:
-        if len(data) <= self.leaf_bytes:
-            return self._leaf(data)
-        # bottom-up over balanced halves, so a very long pre-token needs no recursion
-        level = [self._leaf(data[i : i + self.leaf_bytes]) for i in range(0, len(data), self.leaf_bytes)]
-        while len(level) > 1:
-            level = [self.join(level[k], level[k + 1]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
-        return level[0]
-
-    def decode(self, ids: list[int]) -> bytes:
+        return (whole,) if whole is not None else self.tree(data)
+
+    def tree(self, data: bytes) -> tuple[int, ...]:
+        """Halves encoded and joined; the depth is the logarithm of the length."""
+        got = self._halves.get(data)
+        if got is not None:
+            return got
+        n = len(data)
+        if n < 2:
+            return tuple([self.single[x] for x in data])
+        out = self.join(self.tree(data[: n >> 1]), self.tree(data[n >> 1 :]))
+        if n <= HALF_BYTES:
+            if len(self._halves) >= CACHE_ENTRIES:
+                self._halves.clear()
+            self._halves[data] = out
+        return out
+
+    def decode(self, ids: tuple[int, ...] | list[int]) -> bytes:
         return b"".join([self.bytes_of[i] for i in ids])
 
     def encode(self, text: str) -> list[int]:

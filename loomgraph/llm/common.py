@@ -2,59 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-_LOCAL_ROOTS: dict[str, str] = {}
-
+from ..sources.scratch import scratch_path, write_scratch  # noqa: F401
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A whole input table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the setting is absent only a local master may make up its own one.
-    """
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if root:
-        return root.rstrip("/")
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by driver and executors")
-    if sc.applicationId not in _LOCAL_ROOTS:
-        own = tempfile.mkdtemp(prefix="loomgraph-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        _LOCAL_ROOTS[sc.applicationId] = f"file://{own}"
-    return _LOCAL_ROOTS[sc.applicationId]
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def write_scratch(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
-
-    Cuts the lineage; survives the loss of executors.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
 def range_count(df: DataFrame, row_bytes: int, task_bytes: int = 64 << 20) -> int:
     """Partitions for a range sort of a stored table: the session's number, more
     where ``row_bytes`` a row would give a partition over ``task_bytes``."""
@@ -82,6 +44,18 @@ def text_or_empty(column: str):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def every_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) of all rows, null text as the empty text."""
+    return docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+
+
+def whole_ids(docs: DataFrame, id_col: str) -> None:
+    """Refuse ids that are not integers, which have no order with the others."""
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"{id_col} is {kind.simpleString()}; ids are integers here")
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text) of the rows that have an id, null text as the empty text."""
     own = docs[id_col]

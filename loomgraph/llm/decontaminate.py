@@ -8,12 +8,16 @@ run of equal prefixes gives the places of all verbatim matches, and walking
 them on gives the longest match.
 
 The benchmark is cut in blocks of at most ``block_words`` words, so what a
-task holds has a fixed bound; one pass over the documents is made per block
-and the passes are merged per document.
+task holds has a fixed bound; an item beyond it is cut in parts that overlap by
+a window less one word, which loses no window.  One pass over the documents is
+made per block and the passes are merged per document.  A worker process lays
+a block out for search once, not once a task.
 
 Defined results: null or word-less texts have no words and no hits; items
-without words have no window; repeated items all count; an empty benchmark or
-table is fine; further columns of the inputs are ignored.
+without words have no window; repeated items all count; an item without id hits
+words but is not listed; of an item in several parts ``longest`` is that within
+a part; an empty benchmark or table is fine; further columns of the inputs are
+ignored.
 """
 
 from __future__ import annotations
@@ -92,19 +96,58 @@ class Queries:
         return np.cumsum(edges[:-1]) > 0, longest
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str, str]]]:
-    """Items in blocks of bounded size, streamed through the driver."""
+def _item_parts(text: str, window: int, most: int) -> Iterator[tuple[str, int]]:
+    """An item in parts of at most ``most`` words, with a bound on their words."""
+    bound = 1 + len(text) // 2
+    if bound <= most:
+        yield text, bound
+        return
+    words = words_of(text)
+    step = max(most - window + 1, 1)
+    for start in range(0, max(len(words) - window + 1, 1), step):
+        part = words[start : start + step + window - 1]
+        yield b" ".join(part).decode("utf-8", "surrogatepass"), len(part)
+
+
+def _blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[list[tuple[str, str]]]:
+    """Items in blocks of at most ``block_words`` words, streamed through the driver."""
+    most = max(block_words, 2 * window)
     block, size, given = [], 0, 0
     for name, text in benchmark.toLocalIterator():
-        block.append((name, text))
-        size += 1 + len(text) // 2
-        if size >= block_words:
-            yield block
-            block, size, given = [], 0, given + 1
+        for part, words in _item_parts(text, window, most):
+            if block and size + words > most:
+                yield block
+                block, size, given = [], 0, given + 1
+            block.append((name, part))
+            size += words
     if block or not given:
         yield block
 
 
+def _search_texts(queries: Queries, texts: pa.Array) -> Iterator[tuple[int, list[int], np.ndarray, np.ndarray, dict[tuple[int, int], int]]]:
+    """Shards of whole texts: (number of the first, words in each, which words are
+    hit, text of each word, longest matches); a word stands between texts."""
+    start = 0
+    while start < len(texts):
+        shard, sizes, get = [], [], queries.vocabulary.get
+        while start + len(sizes) < len(texts) and len(shard) < SHARD_WORDS:
+            words = words_of(texts[start + len(sizes)].as_py() or "")
+            shard += [get(w, -1) for w in words]
+            shard.append(-1)
+            sizes.append(len(words))
+        doc_of = np.repeat(np.arange(len(sizes)), np.array(sizes) + 1)
+        hit, longest = queries.search(np.array(shard, np.int64), doc_of)
+        yield start, sizes, hit, doc_of, longest
+        start += len(sizes)
+
+
+def _index_of(held: dict, window: int) -> Queries:
+    """The block of a broadcast, laid out; the broadcast outlives a task."""
+    if "index" not in held:
+        held["index"] = Queries(held["items"], window)
+    return held["index"]
+
+
 def find_matches(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS
 ) -> DataFrame:
@@ -113,7 +156,7 @@ def find_matches(
     spark = docs.sparkSession
     slim = docs.select(docs[id_col].alias("id"), text_or_empty(text_col).alias("text"), F.lit(0).cast("bigint").alias("row"))
     items = benchmark.select(F.col(item_col).cast("string"), text_or_empty(item_text))
-    blocks = _blocks(items, block_words)
+    blocks = _blocks(items, window, block_words)
     first, second = next(blocks), next(blocks, None)
     if second is not None:  # the passes are put together by stored row numbers
         slim, _ = write_scratch(slim.withColumn("row", F.monotonically_increasing_id()), "numbered-texts")
@@ -122,35 +165,27 @@ def find_matches(
     types = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.struct([("item", pa.string()), ("longest", pa.int64())]))
     parts = []
     for block in chain((first, second) if second is not None else (first,), blocks):
-        sent = spark.sparkContext.broadcast(block)  # at most block_words words
+        sent = spark.sparkContext.broadcast({"items": block})  # at most block_words words
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            queries = Queries(sent.value, window)
+            queries = _index_of(sent.value, window)
             for batch in batches:
-                start = 0
-                while start < batch.num_rows:
-                    shard, sizes, stop = [], [], start
-                    get = queries.vocabulary.get
-                    while stop < batch.num_rows and len(shard) < SHARD_WORDS:
-                        words = words_of(batch.column(1)[stop].as_py())
-                        shard += [get(w, -1) for w in words]
-                        shard.append(-1)
-                        sizes.append(len(words))
-                        stop += 1
-                    ids = np.array(shard, np.int64)
-                    doc_of = np.repeat(np.arange(len(sizes)), np.array(sizes) + 1)
-                    hit, longest = queries.search(ids, doc_of)
+                for start, sizes, hit, doc_of, longest in _search_texts(queries, batch.column(1)):
+                    n = len(sizes)
                     spans: list[list[dict]] = [[] for _ in sizes]
                     step = np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))
                     base = np.concatenate(([0], np.cumsum(np.array(sizes) + 1)))
                     for a, b in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1), strict=True):
                         d = doc_of[a]
                         spans[d].append({"start": int(a - base[d]), "end": int(b - base[d])})
-                    matches: list[list[dict]] = [[] for _ in sizes]
+                    best: dict[tuple[int, str], int] = {}
                     for (d, k), length in longest.items():
-                        matches[d].append({"item": queries.names[k], "longest": length})
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), batch.column(2).slice(start, stop - start), pa.array(sizes, pa.int64()), pa.array(spans, types[0]), pa.array(matches, types[1])], names=["id", "row", "n_words", "spans", "matches"])
-                    start = stop
+                        best[d, queries.names[k]] = max(length, best.get((d, queries.names[k]), 0))
+                    matches: list[list[dict]] = [[] for _ in sizes]
+                    for (d, item), length in best.items():
+                        matches[d].append({"item": item, "longest": length})
+                    columns = [batch.column(0).slice(start, n), batch.column(2).slice(start, n), pa.array(sizes, pa.int64()), pa.array(spans, types[0]), pa.array(matches, types[1])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["id", "row", "n_words", "spans", "matches"])
 
         parts.append(slim.mapInArrow(run, schema))
     if len(parts) == 1:
@@ -182,14 +217,30 @@ def _merged_spans(column: str):
 
 def digest_columns(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """n_hit, n_items, items_sha256 and contaminated from spans and matches."""
-    names = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item"])))
+    names = F.array_sort(F.array_distinct(F.array_compact(F.transform("matches", lambda m: m["item"]))))
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda s, x: s + x["end"] - x["start"])
     return found.select(
         id_col, "n_words", n_hit.alias("n_hit"), F.size(names).cast("bigint").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated")
     )
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """Documents without any benchmark window, all their columns kept."""
-    bad = find_matches(docs, benchmark, id_col, **options).where(F.size("spans") > 0).select(id_col)
-    return docs.join(bad, id_col, "left_anti")
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Documents without any benchmark window, all their columns kept.
+
+    Every row is judged by its own text in a map, whatever its id; blocks are
+    maps one after another, so nothing is shuffled.
+    """
+    kept, at = docs, [c.lower() for c in docs.columns].index(text_col.lower())
+    for block in _blocks(benchmark.select(F.col(item_col).cast("string"), text_or_empty(item_text)), window, block_words):
+        sent = docs.sparkSession.sparkContext.broadcast({"items": block})  # at most block_words words
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            queries = _index_of(sent.value, window)
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                for start, _, hit, doc_of, _ in _search_texts(queries, batch.column(at)):
+                    clean[start + np.unique(doc_of[hit])] = False
+                yield batch.filter(pa.array(clean))
+
+        kept = kept.mapInArrow(run, docs.schema)
+    return kept

@@ -10,17 +10,23 @@ Spans are ``kind:start:end`` in code points, end exclusive.  Kinds: the base
 ones ``assign``, ``access`` and ``hex``, and two of the method's own, ``pem``
 (private-key headers) and ``jwt``.
 
-Defined results: null text is empty and has no span; rows without id are left
-out of a scan; an empty table gives an empty table; copies share one ledger
-row; further columns are ignored (kept by ``redact``).
+Positions are running sums over the gaps between matches, taken in chunks, so
+that a text's cost does not grow with the square of its matches.
+
+Defined results: null text is empty and has no span; every row gets its own
+text's spans, whether its id is null, repeated or another text's too; an empty
+table gives an empty table; copies share one ledger row; further columns are
+ignored (kept by ``redact``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, text_or_empty, unused_prefix, write_scratch
+from .common import every_text, text_or_empty, unused_prefix, write_scratch
 
 RULES_VERSION = "2"
 #: Fixed patterns; kind, pattern, least code points of a match.  Runs of one
@@ -37,18 +43,34 @@ LEAST_VALUE = 6
 LEDGER_SCHEMA = "blob binary, rule_version string, spans array<struct<start:bigint,kind_no:int,end:bigint>>"
 
 
+#: Matches that are put together at once.
+CHUNK = 256
+NO_SPANS = "array<struct<start:bigint,kind_no:int,end:bigint>>"
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _per_chunk(items: Column, use: Callable[[Column, Column], Column]) -> Column:
+    """``use`` of each chunk of an array and its number; at least one chunk."""
+    last = F.greatest(F.ceil(F.size(items) / CHUNK) - 1, F.lit(0)).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda c: use(F.slice(items, c * CHUNK + 1, F.lit(CHUNK)), c))
+
+
+def _running(totals: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """0 and the running totals of an array with one entry for each chunk."""
+    return F.aggregate(totals, F.array(F.lit(0).cast("bigint")), lambda done, x: F.concat(done, F.array(add(F.element_at(done, -1), x))))
+
+
 def _matches(text: Column, pattern: str, kind_no: int, value_group: int = 0, least: int = 0) -> Column:
     """All matches as (start, kind_no, end): gaps by splitting, matches by extraction."""
+    length = lambda x: F.char_length(x).cast("bigint")
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.arrays_zip(F.transform(gaps, lambda g: F.char_length(g).cast("bigint")).alias("gap"), F.transform(found, lambda m: F.char_length(m).cast("bigint")).alias("len"))
+    columns = [F.transform(F.split(text, pattern, -1), length).alias("gap"), F.transform(found, length).alias("len")]
     if least:
-        pairs = F.arrays_zip(
-            F.transform(gaps, lambda g: F.char_length(g).cast("bigint")).alias("gap"),
-            F.transform(found, lambda m: F.char_length(m).cast("bigint")).alias("len"),
-            F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)), lambda m: F.char_length(m)).alias("value"),
-        )
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,kind_no:int,end:bigint>>").alias("spans"))
+        columns.append(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)), length).alias("value"))
 
     def step(acc, x):
         begin = acc["at"] + x["gap"]
@@ -57,8 +79,12 @@ def _matches(text: Column, pattern: str, kind_no: int, value_group: int = 0, lea
         keep = x["len"].isNotNull() & (x["value"] >= least if least else F.lit(True))
         return F.struct(F.coalesce(end, begin).alias("at"), F.when(keep, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    spans = F.aggregate(pairs, start, step)["spans"]
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast("array<struct<start:bigint,kind_no:int,end:bigint>>"))
+    def spans(pairs):
+        sizes = _per_chunk(pairs, lambda part, _c: F.aggregate(part, F.lit(0).cast("bigint"), lambda n, x: n + x["gap"] + F.coalesce(x["len"], F.lit(0))))
+        start = lambda at: F.struct(at.alias("at"), F.array().cast(NO_SPANS).alias("spans"))
+        return _bound(_running(sizes, lambda n, x: n + x), lambda bases: F.flatten(_per_chunk(pairs, lambda part, c: F.aggregate(part, start(F.get(bases, c)), step)["spans"])))
+
+    return F.when(text.rlike(pattern), _bound(F.arrays_zip(*columns), spans)).otherwise(F.array().cast(NO_SPANS))
 
 
 def spans_of(text: Column) -> Column:
@@ -76,31 +102,25 @@ def read_ledger(spark, path: str) -> DataFrame:
     return spark.read.schema(LEDGER_SCHEMA).parquet(path)
 
 
-def scan(docs: DataFrame, ledger_path: str, id_col: str = "doc_id", text_col: str = "text", nameless: DataFrame | None = None) -> DataFrame:
-    """Update the ledger; return id, blob and spans of every row.
-
-    Texts (text) of ``nameless`` are scanned too, for the ledger and the result
-    with a null id, one row for each blob.
-    """
-    spark = docs.sparkSession
-    base = id_and_text(docs, id_col, text_col).withColumn("blob", F.unhex(F.sha2("text", 256)))
+def scan(docs: DataFrame, ledger_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Update the ledger; return id, blob and spans of every row."""
+    base = every_text(docs, id_col, text_col).withColumn("blob", F.unhex(F.sha2("text", 256)))
     keyed = base.select("id", "blob")
-    known = read_ledger(spark, ledger_path).where(F.col("rule_version") == RULES_VERSION).select("blob")
-    carriers = keyed.groupBy("blob").agg(F.min("id").alias("id")).join(known, "blob", "left_anti")
-    unseen = base.join(carriers, ["id", "blob"]).select("blob", "text")
-    if nameless is not None:
-        lone = nameless.select("text", F.unhex(F.sha2("text", 256)).alias("blob")).dropDuplicates(["blob"])
-        unseen = unseen.union(lone.join(known, "blob", "left_anti").join(keyed.select("blob"), "blob", "left_anti").select("blob", "text"))
-        keyed = keyed.union(lone.select(F.lit(None).cast(base.schema["id"].dataType).alias("id"), "blob"))
+    known = read_ledger(docs.sparkSession, ledger_path).where(F.col("rule_version") == RULES_VERSION).select("blob")
+    carriers = keyed.groupBy("blob").agg(F.min("id").alias("carrier")).join(known, "blob", "left_anti").withColumnRenamed("blob", "missing")
+    unseen = base.join(carriers, (base["blob"] == carriers["missing"]) & base["id"].eqNullSafe(carriers["carrier"]))
     (
         unseen.select("blob", F.lit(RULES_VERSION).alias("rule_version"), spans_of(F.col("text")).alias("spans"))
         .write.mode("append").option("compression", "zstd").parquet(ledger_path)
     )
-    seen = read_ledger(spark, ledger_path).where(F.col("rule_version") == RULES_VERSION)
-    seen = seen.where(F.size("spans") > 0).groupBy("blob").agg(F.max("spans").alias("spans"))
-    seen, _ = write_scratch(seen, "findings")  # a stored side, so that a blob of very many paths can be split
-    none = F.array().cast("array<struct<start:bigint,kind_no:int,end:bigint>>")
-    return keyed.join(seen, "blob", "left").select(F.col("id").alias(id_col), "blob", F.coalesce("spans", none).alias("spans"))
+    return keyed.join(_findings(docs, ledger_path), "blob", "left").select(F.col("id").alias(id_col), "blob", F.coalesce("spans", F.array().cast(NO_SPANS)).alias("spans"))
+
+
+def _findings(docs: DataFrame, ledger_path: str) -> DataFrame:
+    """(blob, spans) of the blobs with spans; a stored side, so that a blob of very
+    many paths can be split."""
+    seen = read_ledger(docs.sparkSession, ledger_path).where((F.col("rule_version") == RULES_VERSION) & (F.size("spans") > 0))
+    return write_scratch(seen.groupBy("blob").agg(F.max("spans").alias("spans")), "findings")[0]
 
 
 def _shown(spans: Column) -> Column:
@@ -118,29 +138,38 @@ def digest_columns(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with the union of the spans replaced, overlaps once."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
+    """The text with the union of the spans replaced, overlaps once.
 
-    def step(acc, s):
+    A chunk of spans is laid over its own stretch of the text: the stretch goes
+    from where the spans before it end to where it ends itself.
+    """
+    cut = lambda x, at, n: F.substring(x, (at + 1).cast("int"), F.greatest(n, F.lit(0)).cast("int"))
+
+    def step(acc, s, stretch, begin):
         fresh = s["start"] >= acc["at"]
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
+        gap = cut(stretch, acc["at"] - begin, s["start"] - acc["at"])
         return F.struct(F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
-    done = F.aggregate(spans, start, step)
-    rest = F.concat(done["out"], F.substring(text, (done["at"] + 1).cast("int"), F.lit(2147483647)))
-    return F.when(F.size(spans) > 0, rest).otherwise(text)
+    def stretches(bases):
+        def one(part, c):
+            begin = F.get(bases, c)
+            start = F.struct(F.lit("").alias("out"), begin.alias("at"))
+            return _bound(cut(text, begin, F.get(bases, c + 1) - begin), lambda x: F.aggregate(part, start, lambda acc, s: step(acc, s, x, begin))["out"])
+
+        return F.concat(F.array_join(_per_chunk(spans, one), ""), cut(text, F.element_at(bases, -1), F.lit(2147483647)))
+
+    ends = _per_chunk(spans, lambda part, _c: F.coalesce(F.array_max(F.transform(part, lambda s: s["end"])), F.lit(0)))
+    return F.when(F.size(spans) > 0, _bound(_running(ends, lambda n, x: F.greatest(n, x)), stretches)).otherwise(text)
 
 
 def redact(docs: DataFrame, ledger_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All documents, secrets in their text replaced; other columns kept.
 
-    Rows are matched by blob, so repeated ids with different texts stay apart;
-    rows without id are kept and redacted like others.
+    Rows are matched by blob, so ids play no part.
     """
     q = unused_prefix(docs, "_s")
-    nameless = docs.where(docs[id_col].isNull()).select(text_or_empty(text_col).alias("text"))
-    found = scan(docs, ledger_path, id_col, text_col, nameless).where(F.size("spans") > 0).groupBy(F.col("blob").alias(f"{q}blob")).agg(F.first("spans").alias(f"{q}spans"))
-    found, _ = write_scratch(found, "findings")
+    scan(docs, ledger_path, id_col, text_col)
+    found = _findings(docs, ledger_path).select(F.col("blob").alias(f"{q}blob"), F.col("spans").alias(f"{q}spans"))
     joined = docs.withColumn(f"{q}blob", F.unhex(F.sha2(text_or_empty(text_col), 256))).join(found, f"{q}blob", "left")
     spans = F.col(f"{q}spans")
     out = joined.withColumn(text_col, F.when(spans.isNull(), F.col(text_col)).otherwise(redacted(F.col(text_col), spans)))

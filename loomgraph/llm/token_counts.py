@@ -9,9 +9,10 @@ Copies of one text meet only in partial aggregates and in a join against a
 side with unique keys, which adaptive execution can split.
 
 Defined results: null and empty text count 0 tokens; an empty table gives an
-empty table and appends nothing; repeated ids are each returned; a row that
-repeats id and text may be encoded again, which readers of the cache fold; rows without
-id are left out; further columns of the input are ignored.
+empty table and appends nothing; every row is returned with its own text's count,
+whether its id is null, repeated or another text's too; a row that repeats id
+and text may be encoded again, which readers of the cache fold; further columns
+of the input are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, pieces, write_scratch
+from .common import every_text, pieces, write_scratch
 
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens bigint"
 
@@ -66,11 +67,11 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     """
     spark = docs.sparkSession
     version = file_digest(tokenizer_path)
-    base = id_and_text(docs, id_col, text_col).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    base = every_text(docs, id_col, text_col).withColumn("digest", F.unhex(F.sha2("text", 256)))
     keyed = base.select("id", "digest", F.octet_length("text").cast("bigint").alias("n_bytes"))
     known = read_cache(spark, cache_path).where(F.col("tokenizer_digest") == version).select(F.col("content_digest").alias("digest"))
-    carriers = keyed.groupBy("digest").agg(F.min("id").alias("id")).join(known, "digest", "left_anti")
-    todo = base.join(carriers, ["id", "digest"]).select("digest", "text")
+    carriers = keyed.groupBy("digest").agg(F.min("id").alias("carrier")).join(known, "digest", "left_anti").withColumnRenamed("digest", "missing")
+    todo = base.join(carriers, (base["digest"] == carriers["missing"]) & base["id"].eqNullSafe(carriers["carrier"])).select("digest", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer_path)

@@ -73,17 +73,24 @@ def test_bpe_matches_the_library(docs, empty, library):
     assert bpe.encode_decode(empty, RANKS, public_tokenizers.PATTERN).collect() == []
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.binary(min_size=1, max_size=300), st.integers(1, 40))
-def test_bpe_tree_equals_one_leaf(data, leaf):
-    whole = _tree(10**6)._tree(data)
-    assert _tree(leaf)._tree(data) == whole and _tree(leaf).decode(whole) == data
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.binary(min_size=1, max_size=300), st.text("aeinrst \u00e9", min_size=1, max_size=200).map(str.encode)))
+def test_bpe_tree_equals_rank_merges(data):
+    ids = _tree().tree(data)
+    assert ids == _tree().by_ranks(data) and _tree().decode(ids) == data
 
 
-def _tree(leaf, _made={}):  # noqa: B006
-    if leaf not in _made:
-        _made[leaf] = bpe.TreeBPE.from_file(RANKS, public_tokenizers.PATTERN, leaf)
-    return _made[leaf]
+def test_bpe_long_pretoken(library):
+    """One pre-token of 200,000 letters goes through the tree alone."""
+    r = random.Random(2)
+    text = "".join(r.choice("abcdefghinorst") for _ in range(200_000))
+    assert list(_tree().encode(text)) == library.encode_ordinary(text)
+
+
+def _tree(_made=[]):  # noqa: B006
+    if not _made:
+        _made.append(bpe.TreeBPE.from_file(RANKS, public_tokenizers.PATTERN))
+    return _made[0]
 
 
 def test_token_counts_and_cache(spark, docs, empty):
@@ -125,12 +132,28 @@ def test_repeated_ids_with_other_texts(spark):
     rows = [(1, "clean words only here"), (1, "x " + secret), (2, "y y y " + secret), (2, "short"), (None, "z " + secret), (None, "z " + secret), (None, None)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     found = {(r["doc_id"], bytes(r["blob"]).hex(), tuple(s["start"] for s in r["spans"])) for r in secrets.scan(df, scratch_path(spark, "ledger")).collect()}
-    assert found == {(i, brute.sha(t), tuple([t.index("password")] if secret in t else [])) for i, t in rows if i}
+    assert found == {(i, brute.sha(t or ""), tuple([t.index("password")] if secret in (t or "") else [])) for i, t in rows}
     texts = sorted(str(r["text"]) for r in secrets.redact(df, scratch_path(spark, "ledger")).collect())
     assert texts == sorted(str(t).replace(secret, "[SECRET]") for _, t in rows)
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     counts = {(r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in token_counts.count_tokens(df, PIECES, scratch_path(spark, "cache")).collect()}
-    assert counts == {(i, len(t), len(sp.encode(t))) for i, t in rows if i}
+    assert counts == {(i, len(t or ""), len(sp.encode(t or ""))) for i, t in rows}
+
+
+def test_text_of_very_many_secrets(spark):
+    """Spans and redaction of 100,000 matches in one text, in chunks, and of overlaps."""
+    word, n = "é " + "AKIA" + "Z" * 16 + " token=abcdef12 " + "0f" * 12, 34_000
+    df = spark.createDataFrame([(1, word * n), (2, "secret=" + "ab" * 20 + " x")], "doc_id bigint, text string")
+    found = {r["doc_id"]: r for r in secrets.digest_columns(secrets.scan(df, scratch_path(spark, "ledger"))).collect()}
+    spans = brute.base_spans(word * n)
+    assert found[1]["n_access"] == n and found[1]["base_sha256"] == brute.sha(",".join(x for *_, x in spans))
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(df, scratch_path(spark, "ledger")).collect()}
+    want, at = [], 0
+    for begin, _, span in spans:
+        if begin >= at:
+            want += [(word * n)[at:begin], "[SECRET]"]
+        at = max(at, int(span.split(":")[2]))
+    assert clean[1] == "".join([*want, (word * n)[at:]]) and clean[2] == "[SECRET] x"
 
 
 def test_near_duplicates(docs, empty):
@@ -257,6 +280,21 @@ def test_decontamination(spark, docs, empty):
     assert longest["3"] == len(brute.bench_words(PASSAGE))
 
 
+def test_decontamination_limits(spark):
+    """An item beyond a block is cut without losing a window; rows are judged by
+    their own text, whatever their id; an item without id is not listed."""
+    long = prose(77, 900)
+    items = [(1, long), (None, PASSAGE), (2, prose(78, 30))]
+    rows = [(i, prose(200 + i, 20) + " " + " ".join(long.split()[45 * i : 45 * i + 14])) for i in range(19)] + [(None, PASSAGE), (None, "clean words"), (5, "clean text of the same id"), (50, prose(78, 30)), (50, "also clean")]
+    df, benchmark = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    listed = [(str(i), brute.contaminated(t, [x for x in items if x[0] is not None])[3], brute.contaminated(t, items)[1]) for i, t in rows]
+    for words in (decontaminate.BLOCK_WORDS, 100):
+        found = decontaminate.digest_columns(decontaminate.find_matches(df, benchmark, block_words=words)).collect()
+        assert sorted((str(r["doc_id"]), r["items_sha256"], r["n_hit"]) for r in found) == sorted(listed)
+        kept = sorted(r["text"] for r in decontaminate.remove_contaminated(df, benchmark, block_words=words).collect())
+        assert kept == sorted(t for _, t in rows if not brute.contaminated(t, items)[4])
+
+
 def test_toxicity(spark, docs, empty):
     r = random.Random(9)
     rows = [(i, prose(i, 60) + (" " + r.choice(["scum", "wretch", "vermin"]) + " " + prose(i + 5000, 20) if i % 5 == 0 else "")) for i in range(900)]
