@@ -45,6 +45,7 @@ class TreeBPE:
         self._pairs: dict[int, tuple[int, ...] | None] = {}
         self._halves: dict[bytes, tuple[int, ...]] = {}
         self._cache: dict[str, tuple[str, int, bytes]] = {}
+        self._older: dict[str, tuple[str, int, bytes]] = {}
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> TreeBPE:
@@ -135,13 +136,13 @@ class TreeBPE:
         Leaves of the document's tree are its pre-tokens: no token crosses
         them, so the joins above are plain concatenations and can be streamed.
         """
-        cache, n = self._cache, 0
+        n = 0
         ids_hash, bytes_hash = hashlib.sha256(), hashlib.sha256()
         found = self.split.findall(text) if len(text) < 1_000_000 else None
         stream = [found] if found is not None else self._blocks(text)
         first = True
         for block in stream:
-            known = [cache.get(piece) for piece in block]
+            known = list(map(self._cache.get, block))
             if None in known:
                 known = [self._piece(piece) if got is None else got for piece, got in zip(block, known, strict=True)]
             if known:
@@ -152,15 +153,17 @@ class TreeBPE:
         return n, ids_hash.hexdigest(), bytes_hash.hexdigest()
 
     def _piece(self, piece: str) -> tuple[str, int, bytes]:
-        """Ids in decimal, their number and their bytes, kept for short pieces."""
-        got = self._cache.get(piece)
+        """Ids in decimal, their number and their bytes, kept for short pieces: of two
+        generations the older is dropped whole, pieces in use move to the younger."""
+        got = self._cache.get(piece) or self._older.get(piece)
         if got is None:
             ids = self.encode_bytes(piece.encode("utf-8"))
             got = (" ".join(map(str, ids)), len(ids), self.decode(ids))
-            if len(self._cache) >= CACHE_ENTRIES:
-                self._cache.clear()
-            if len(piece) <= 64:
-                self._cache[piece] = got
+            if len(piece) > 64:
+                return got
+        if len(self._cache) >= CACHE_ENTRIES:
+            self._older, self._cache = self._cache, {}
+        self._cache[piece] = got
         return got
 
     def _blocks(self, text: str, size: int = 100_000) -> Iterator[list[str]]:
@@ -187,8 +190,12 @@ def encode_decode(
     if keep_ids:
         schema += ", ids array<int>, decoded string"
 
+    sent = docs.sparkSession.sparkContext.broadcast({})  # outlives a task: a worker process lays the tables out once
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = TreeBPE.from_file(ranks_path, pattern)
+        if "bpe" not in sent.value:
+            sent.value["bpe"] = TreeBPE.from_file(ranks_path, pattern)
+        bpe = sent.value["bpe"]
         for batch in batches:
             for part in pieces(batch):
                 rows = [bpe.digests(x.as_py()) for x in part.column(1)]
