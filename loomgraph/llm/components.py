@@ -50,7 +50,7 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def connected_components(links: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
+def connected_components(links: DataFrame, task_links: int = TASK_LINKS, stored: bool = False) -> DataFrame:
     """links (a, b: bigint) -> (id, component): component is the least id reachable.
 
     Each task first contracts at most ``task_links`` links.  If that was one
@@ -59,15 +59,17 @@ def connected_components(links: DataFrame, task_links: int = TASK_LINKS) -> Data
     neighbours come from aggregates with map-side combine, and the join back
     has unique keys on one side, so hubs do not meet in one task.
 
-    No links give no rows; self and repeated links are harmless.
+    No links give no rows; self and repeated links are harmless.  ``stored``
+    links are a table already and are not written once more.
     """
     links = links.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"))
     spark = links.sparkSession
-    raw, raw_path = write_scratch(links, "links")
+    raw, raw_path = (links, None) if stored else write_scratch(links, "links")
     n = raw.count()
     parts = max(1, -(-n // task_links))
     edges, path = write_scratch(raw.repartition(parts).mapInArrow(_contract, "a bigint, b bigint"), "contracted")
-    drop_paths(spark, raw_path)
+    if raw_path:
+        drop_paths(spark, raw_path)
     if parts == 1:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     edges, last = edges.where("a > b"), None

@@ -14,11 +14,16 @@ most of a group; later pairs are confirmed only between different components,
 which loses no component.
 
 Runs of equal least prefix that are longer than the neighbour window are
-settled in rounds: the rows outside a run's largest component meet all its rows
-in other components, those that agree best first, and each round joins what it
-confirms, so that a centre with many copies joins them before the copies are
-tried with each other.  The last round tries every pair still apart: where very
-many documents are alike but below the limit, that is their number squared.
+settled in two rounds.  Their rows get a fine sketch (two bits of 1,024 more hash
+values), which rules out what is below 0.66 similar; it errs in one case of
+10^7.  First the rows outside a run's largest component meet all its rows in
+other components, and the best four partners of each are confirmed, so that a
+centre with many copies joins them.  Then the rows with partners left meet all
+rows still apart, full sets at hand, and only links leave the task, one for each
+pair of components.  Rows and partners are dealt in a grid of chunks, which
+bounds what a task holds.  Sketches are compared for all pairs that are apart:
+where very many documents are alike but below the limit, that work is their
+number squared.
 
 At 0.75 similarity a pair shares three values in some of 32 orders but for
 3 in 10^8 cases; a range-sorted order spreads a region of any size over tasks.
@@ -26,7 +31,8 @@ At 0.75 similarity a pair shares three values in some of 32 orders but for
 Defined results: a text of one to four words is one shingle; null or word-less
 texts have none and are linked with nothing; copies and repeated rows form one
 component; an empty table gives an empty table; further columns are ignored
-(kept by ``keep_one``).  Ids are integers; rows without one are left out.
+(kept by ``keep_one``).  Ids are integers, others are refused; a row without one
+is compared with nothing: it comes out with a null component, and kept.
 """
 
 from __future__ import annotations
@@ -40,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, maybe_in, pieces, write_scratch
+from .common import id_and_text, maybe_in, pieces, range_count, whole_ids, write_scratch
 from .components import connected_components
 
 SHINGLE_WORDS = 5
@@ -51,9 +57,9 @@ DEPTH = 6
 LEAST_DEPTH = 3
 NEIGHBOURS = 8
 FIRST_WAVE_TREES = 2
-#: Partners of a row in each round over long runs; the round after tries all.
-ROUNDS = (4, 32, 256)
-#: Rows of a long run that one task compares with the run's minority.
+#: Partners of a row in the first round over long runs; the second tries all.
+PARTNERS = 4
+#: Rows on either side of what one task compares at once in a long run.
 CHUNK = 256
 MIN_PERCENT = 75
 #: Signature values in a sketch, and how many must agree at MIN_PERCENT: five
@@ -61,12 +67,19 @@ MIN_PERCENT = 75
 SKETCH = 64
 _EXPECTED = MIN_PERCENT / 100 + (1 - MIN_PERCENT / 100) / 16
 LEAST_AGREEING = int(SKETCH * _EXPECTED - 5.2 * (SKETCH * _EXPECTED * (1 - _EXPECTED)) ** 0.5)
+#: Values in the fine sketch of a long run's rows, two bits each, and how many
+#: must agree, in the same way.
+FINE = 1024
+_FINE_EXPECTED = MIN_PERCENT / 100 + (1 - MIN_PERCENT / 100) / 4
+FINE_AGREEING = int(FINE * _FINE_EXPECTED - 5.2 * (FINE * _FINE_EXPECTED * (1 - _FINE_EXPECTED)) ** 0.5)
 WORD_CACHE = 300_000
 
 _RNG = np.random.default_rng(20_240_601)
 _ODD = (_RNG.integers(0, 2**32, HASHES, np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
 _ADD = _RNG.integers(0, 2**32, HASHES, np.uint64).astype(np.uint32)[:, None]
 _PLACE = _RNG.integers(0, 2**63, SHINGLE_WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
+_FINE_ODD = (_RNG.integers(0, 2**32, FINE, np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
+_FINE_ADD = _RNG.integers(0, 2**32, FINE, np.uint64).astype(np.uint32)[:, None]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -105,15 +118,25 @@ class Shingler:
         return np.unique(_mixed(total))
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
+def signature(shingles: np.ndarray, odd: np.ndarray = _ODD, add: np.ndarray = _ADD) -> np.ndarray:
     """Least value of each hash function over the set."""
-    low = np.full(HASHES, 0xFFFFFFFF, np.uint32)
+    low = np.full(len(odd), 0xFFFFFFFF, np.uint32)
     small = (shingles ^ (shingles >> np.uint64(32))).astype(np.uint32)
-    for i in range(0, len(small), 4096):
-        low = np.minimum(low, (small[None, i : i + 4096] * _ODD + _ADD).min(axis=1))
+    for i in range(0, len(small), 2048):
+        low = np.minimum(low, (small[None, i : i + 2048] * odd + add).min(axis=1))
     return low
 
 
+def fine_sketch(shingles: np.ndarray) -> bytes:
+    """Two bit planes of FINE values; the middle bits, since the lowest ones of a
+    product vary least."""
+    values = signature(shingles, _FINE_ODD, _FINE_ADD) >> np.uint32(16)
+    return np.packbits(np.stack((values & 1, values >> 1 & 1)).astype(np.uint8), axis=1).tobytes()
+
+
+_SIGNED = "id bigint, n_shingles bigint, digest binary, sig binary, sketch binary"
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingler = Shingler()
     for batch in batches:
@@ -194,8 +217,8 @@ class _LongRuns:
 
     @staticmethod
     def _batch(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-        tree, keys, ids, n, sketch = rows
-        data = np.concatenate((tree.astype(">i4").view(np.uint8).reshape(-1, 4), keys[:, : 4 * LEAST_DEPTH], sketch), axis=1)
+        tree, keys, ids, n, _ = rows
+        data = np.concatenate((tree.astype(">i4").view(np.uint8).reshape(-1, 4), keys[:, : 4 * LEAST_DEPTH]), axis=1)
         return _row_batch("run", ids, n, np.zeros(len(ids), bool), [x.tobytes() for x in data])
 
     def add(self, rows: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
@@ -257,66 +280,106 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def candidate_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """nodes (id, n_shingles, sig, sketch) -> distinct (a, b, first) of the
-    neighbour windows, and the rows (run, id, n, sketch) of longer runs."""
+    neighbour windows, and the rows (run, id, n) of longer runs."""
     spark = nodes.sparkSession
     twice = F.concat("sig", "sig")
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
     rows = nodes.select("id", twice.alias("twice"), tree.alias("tree"), "n_shingles", "sketch")
     rows = rows.select("tree", F.expr(f"substring(twice, tree * {4 * STRIDE} + 1, {4 * DEPTH})").alias("key"), "id", "n_shingles", "sketch")
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = range_count(nodes, TREES * (8 * DEPTH + SKETCH))
     ranged = rows.repartitionByRange(parts, "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
     found, _ = write_scratch(ranged.mapInArrow(_scan, _ROWS), "forest-pairs")
     # two times NEIGHBOURS rows of each partition: bounded by their number
     ends = found.where("kind in ('head', 'tail')").coalesce(1).mapInArrow(_across, _ROWS)
-    long = 4 + 4 * LEAST_DEPTH
-    runs = found.where("kind = 'run'").select(F.substring("key", 1, long).alias("run"), F.col("a").alias("id"), F.col("b").alias("n"), F.substring("key", long + 1, SKETCH // 2).alias("sketch"))
+    runs = found.where("kind = 'run'").select(F.col("key").alias("run"), F.col("a").alias("id"), F.col("b").alias("n"))
     return found.where("kind = 'pair'").union(ends).groupBy("a", "b").agg(F.max("first").alias("first")), runs
 
 
 def _planes(sketches: list[bytes]) -> np.ndarray:
-    """Sketches bit by bit: four words of one bit of each of the 64 values."""
-    bits = np.unpackbits(np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1), axis=1)
-    return np.packbits(bits.reshape(len(sketches), SKETCH, 4).transpose(0, 2, 1), axis=2).view(np.uint64)[:, :, 0]
-
-
-def _rivals(width: int | None):
-    """Rows sorted by run and chunk -> (p, r, agree, more): for each row of the
-    minority its best partners of other components; ``more`` if others remain."""
-
-    def pairs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        _, _, probe, ids, n, sketch, component = zip(*rows, strict=True)
-        probe, ids, n, component, planes = np.array(probe), np.array(ids, np.int64), np.array(n, np.int64), np.array(component, np.int64), _planes(sketch)
-        p_at, r_at = np.flatnonzero(probe), np.flatnonzero(~probe)
-        for start in range(0, len(p_at) if len(r_at) else 0, 2048):
-            p = p_at[start : start + 2048]
-            differ = np.zeros((len(p), len(r_at)), np.uint64)
-            for k in range(4):
-                differ |= planes[p, k][:, None] ^ planes[r_at, k][None, :]
-            agree = SKETCH - np.bitwise_count(differ).astype(np.int64)
-            a, b = n[p][:, None], n[r_at][None, :]
-            fit = (agree >= LEAST_AGREEING) & (component[p][:, None] != component[r_at][None, :]) & (100 * np.minimum(a, b) >= MIN_PERCENT * np.maximum(a, b))
-            more = np.zeros(len(p), bool)
-            if width is not None and width < len(r_at):
-                more = fit.sum(axis=1) > width
-                best = np.argpartition(np.where(fit, -agree, 1), width - 1, axis=1)[:, :width]
-                chosen = np.zeros_like(fit)
-                np.put_along_axis(chosen, best, True, axis=1)
-                fit &= chosen
-            x, y = np.nonzero(fit)
-            if len(x):
-                columns = [pa.array(ids[p[x]]), pa.array(ids[r_at[y]]), pa.array(agree[x, y]), pa.array(more[x])]
-                yield pa.RecordBatch.from_arrays(columns, names=["p", "r", "agree", "more"])
+    """Fine sketches as words: plane, word, row."""
+    return np.ascontiguousarray(np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), 2, -1).transpose(1, 2, 0))
+
+
+_DEALT = ("run", "pc", "rc", "probe", "id", "n", "component", "sketch")
+
+
+class _Cell:
+    """Rows of one cell of a run's grid: probes against rows of other components."""
+
+    def __init__(self, rows: list[tuple]):
+        _, _, _, probe, ids, n, component, sketch, *sets = zip(*rows, strict=True)
+        self.ids, self.n, self.component, self.planes = np.array(ids, np.int64), np.array(n, np.int64), np.array(component, np.int64), _planes(sketch)
+        self.sets = sets[0] if sets else ()
+        probe = np.array(probe)
+        self.p, self.r = np.flatnonzero(probe), np.flatnonzero(~probe)
+
+    def fits(self) -> tuple[np.ndarray, np.ndarray]:
+        """(agreeing values, whether a pair is worth trying), probe by row."""
+        agree = np.full((len(self.p), len(self.r)), FINE, np.int64)
+        for low, high in zip(*self.planes, strict=True):
+            agree -= np.bitwise_count((low[self.p][:, None] ^ low[self.r][None, :]) | (high[self.p][:, None] ^ high[self.r][None, :]))
+        a, b = self.n[self.p][:, None], self.n[self.r][None, :]
+        apart = self.component[self.p][:, None] != self.component[self.r][None, :]
+        return agree, (agree >= FINE_AGREEING) & apart & (100 * np.minimum(a, b) >= MIN_PERCENT * np.maximum(a, b))
+
+    def best(self) -> Iterator[pa.RecordBatch]:
+        """(p, r, agree, more): best partners; ``more`` if others remain."""
+        agree, fit = self.fits()
+        more = fit.sum(axis=1) > PARTNERS
+        if len(self.r) > PARTNERS:
+            top = np.argpartition(np.where(fit, -agree, 1), PARTNERS - 1, axis=1)[:, :PARTNERS]
+            chosen = np.zeros_like(fit)
+            np.put_along_axis(chosen, top, True, axis=1)
+            fit &= chosen
+        x, y = np.nonzero(fit)
+        if len(x):
+            columns = [pa.array(self.ids[self.p[x]]), pa.array(self.ids[self.r[y]]), pa.array(agree[x, y]), pa.array(more[x])]
+            yield pa.RecordBatch.from_arrays(columns, names=["p", "r", "agree", "more"])
+
+    def links(self, min_percent: int) -> Iterator[pa.RecordBatch]:
+        """(a, b): a confirmed pair for each pair of components that has one."""
+        agree, fit = self.fits()
+        x, y = np.nonzero(fit)
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+        for k in np.argsort(-agree[x, y], kind="stable"):
+            i, j = self.p[x[k]], self.r[y[k]]
+            key = tuple(sorted((int(self.component[i]), int(self.component[j]))))
+            if key not in found:
+                both = len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True))
+                if 100 * both >= min_percent * (len(self.sets[i]) + len(self.sets[j]) - both):
+                    found[key] = (int(self.ids[i]), int(self.ids[j]))
+        if found:
+            a, b = zip(*found.values(), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _own_arrays(column: pa.ListArray) -> list[np.ndarray]:
+    """Each list as an array of its own, eight bytes a number."""
+    at, values = column.offsets.to_numpy(), column.values.to_numpy()
+    return [values[a:b].copy() for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def _cells(use):
+    """``use`` of each cell of rows sorted by run and chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+
+        def done():
+            cell = _Cell(held)
+            if len(cell.p) and len(cell.r):
+                yield from use(cell)
+
         for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if held and held[0][:2] != row[:2]:
-                    yield from pairs(held)
-                    held = []
-                held.append(row)
+            for part in pieces(batch):
+                columns = [c.to_pylist() if not pa.types.is_list(c.type) else _own_arrays(c) for c in part.columns]
+                for row in zip(*columns, strict=True):
+                    if held and held[0][:3] != row[:3]:
+                        yield from done()
+                        held = []
+                    held.append(row)
         if held:
-            yield from pairs(held)
+            yield from done()
 
     return run
 
@@ -327,45 +390,63 @@ def _labelled(rows: DataFrame, component: DataFrame) -> DataFrame:
     return rows.join(of, "id", "left").select(*rows.columns, F.coalesce("_of", "id").alias("component"))
 
 
+def _dealt(rows: DataFrame, chosen, parts: int) -> DataFrame:
+    """Rows (run, id, n, component, ..) in a grid for each run: the chosen ones on
+    one side, all on the other; each is repeated for the other side's chunks."""
+    sizes = rows.groupBy("run").agg(F.ceil(F.count(F.when(chosen, 1)) / CHUNK).cast("int").alias("pcs"), F.ceil(F.count("*") / CHUNK).cast("int").alias("rcs"), F.count_distinct("component").alias("components"))
+    met = rows.join(sizes.where("pcs > 0 and components > 1").drop("components"), "run")
+    at = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    probes = met.where(chosen).withColumn("pc", at(1, "pcs")).withColumn("rc", every("rcs")).withColumn("probe", F.lit(True))
+    own = met.withColumn("rc", at(2, "rcs")).withColumn("pc", every("pcs")).withColumn("probe", F.lit(False))
+    both = probes.unionByName(own).select(*_DEALT, *[c for c in rows.columns if c == "set"])
+    return both.repartition(parts, "run", "pc", "rc").sortWithinPartitions("run", "pc", "rc")
+
+
 def settle_runs(base: DataFrame, runs: DataFrame, tested: DataFrame, component: DataFrame, min_percent: int) -> DataFrame:
     """Components after every pair of a long run that is still apart was tried.
 
-    ``tested``: pairs (a, b) already confirmed or refused.  A run's rows are
-    dealt in chunks; only the rows outside its largest component are repeated
-    for each chunk.
+    ``tested``: pairs (a, b) already confirmed or refused.  Texts of the rows
+    concerned are read once, for sets and fine sketches.
     """
-    parts = max(2, int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    for width in (*ROUNDS, None):
-        each = _labelled(runs.select("run", "id"), component).groupBy("run", "component").agg(F.count("*").alias("k"))
-        mixed = each.groupBy("run").agg(F.sum("k").alias("k"), F.max_by("component", F.struct("k", "component")).alias("largest"), F.count("*").alias("components"))
-        mixed = mixed.where((F.col("k") > NEIGHBOURS + 1) & (F.col("components") > 1)).select("run", "largest", F.ceil(F.col("k") / CHUNK).cast("int").alias("chunks"))
-        mixed, _ = write_scratch(mixed, "mixed-runs")
-        if mixed.isEmpty():
-            break
-        rows, _ = write_scratch(_labelled(runs.join(mixed, "run"), component), "mixed-rows")
-        own = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("probe", F.lit(False))
-        probes = rows.where("component <> largest").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("probe", F.lit(True))
-        dealt = own.unionByName(probes).select("run", "chunk", "probe", "id", "n", "sketch", "component")
-        dealt = dealt.repartition(parts, "run", "chunk").sortWithinPartitions("run", "chunk")
-        found = dealt.mapInArrow(_rivals(width), "p bigint, r bigint, agree bigint, more boolean")
-        more = False
-        if width is not None:
-            best = found.groupBy("p").agg(F.sort_array(F.collect_set(F.struct((-F.col("agree")).alias("rank"), "r"))).alias("best"), F.max("more").alias("more"))
-            best, _ = write_scratch(best.select("p", F.slice("best", 1, width).alias("best"), (F.col("more") | (F.size("best") > width)).alias("more")), "best-partners")
-            more = not best.where("more").isEmpty()
-            found = best.select("p", F.explode("best").alias("best")).select("p", "best.r")
-        fresh = found.select(F.least("p", "r").alias("a"), F.greatest("p", "r").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        fresh, _ = write_scratch(fresh, "run-pairs")
-        if not fresh.isEmpty():
-            needed = _needed(fresh)
-            sets, _ = write_scratch(maybe_in(base, "id", needed).join(needed, "id").select("id", "text").mapInArrow(_sets, "id bigint, set array<bigint>").dropDuplicates(["id"]), "run-sets")
-            new, _ = write_scratch(confirmed(fresh, sets, min_percent), "run-links")
-            tested = tested.union(fresh)
-            if not new.isEmpty():
-                component, _ = write_scratch(connected_components(component.select(F.col("id").alias("a"), F.col("component").alias("b")).union(new)), "run-components")
-        if not more:
-            break
-    return component
+    each = _labelled(runs.select("run", "id"), component).groupBy("run", "component").agg(F.count("*").alias("k"))
+    mixed = each.groupBy("run").agg(F.sum("k").alias("k"), F.max_by("component", F.struct("k", "component")).alias("largest"), F.count("*").alias("components"))
+    mixed, _ = write_scratch(mixed.where((F.col("k") > NEIGHBOURS + 1) & (F.col("components") > 1)).select("run", "largest"), "mixed-runs")
+    if mixed.isEmpty():
+        return component
+    rows, _ = write_scratch(runs.join(mixed, "run"), "run-rows")
+    ids = rows.select("id").distinct()
+    signed = maybe_in(base, "id", ids).join(ids, "id").select("id", "text").mapInArrow(_sets_and_sketches, "id bigint, set array<bigint>, sketch binary")
+    signed, _ = write_scratch(signed.dropDuplicates(["id"]), "run-sets")
+    rows = _labelled(rows.join(signed.select("id", "sketch"), "id"), component)
+    parts = range_count(signed, TREES * FINE // 4)
+    found = _dealt(rows, F.col("component") != F.col("largest"), parts).mapInArrow(_cells(_Cell.best), "p bigint, r bigint, agree bigint, more boolean")
+    best = found.groupBy("p").agg(F.sort_array(F.collect_set(F.struct((-F.col("agree")).alias("rank"), "r"))).alias("best"), F.max("more").alias("more"))
+    best, _ = write_scratch(best.select("p", F.slice("best", 1, PARTNERS).alias("best"), (F.col("more") | (F.size("best") > PARTNERS)).alias("more")), "best-partners")
+    fresh = best.select("p", F.explode("best.r").alias("r")).select(F.least("p", "r").alias("a"), F.greatest("p", "r").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    component = _joined(component, confirmed(fresh, signed.select("id", "set"), min_percent))
+    open_rows = best.where("more").select("p")
+    if open_rows.isEmpty():
+        return component
+    rows = _labelled(runs.join(mixed.select("run"), "run", "left_semi"), component).join(signed, "id")
+    rows = rows.join(open_rows, rows["id"] == open_rows["p"], "left")
+    parts = range_count(signed, TREES * (FINE // 4 + 8 * int(signed.agg(F.avg(F.size("set"))).first()[0] or 0)))
+    links = _dealt(rows, F.col("p").isNotNull(), parts).mapInArrow(_cells(lambda cell: cell.links(min_percent)), "a bigint, b bigint")
+    return _joined(component, links)
+
+
+def _joined(component: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links."""
+    return connected_components(component.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links))
+
+
+def _sets_and_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shingler = Shingler()
+    for batch in batches:
+        for part in pieces(batch, 64):
+            sets = [shingler(x.as_py()) for x in part.column(1)]
+            columns = [part.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array([fine_sketch(x) for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "set", "sketch"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,8 +479,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if min_percent < MIN_PERCENT:
         raise ValueError(f"min_percent is {min_percent}; pairs below {MIN_PERCENT} are not searched")
+    whole_ids(docs, id_col)
     base = id_and_text(docs, id_col, text_col).select(F.col("id").cast("bigint").alias("id"), "text")
-    signed, _ = write_scratch(base.mapInArrow(_sign, "id bigint, n_shingles bigint, digest binary, sig binary, sketch binary"), "signatures")
+    signed, _ = write_scratch(base.mapInArrow(_sign, _SIGNED), "signatures")
     classes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("id").alias("node"))
     nodes = signed.join(classes.select(F.col("node").alias("id")), "id", "left_semi").where("n_shingles > 0").select("id", "n_shingles", "sig", "sketch")
     pairs, runs = candidate_pairs(nodes)
@@ -407,7 +489,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     needed = _needed(pairs)  # distinct, so an inner join adds no row; a semi-join would be pushed below the bitmap
     sets, _ = write_scratch(maybe_in(base, "id", needed).join(needed, "id").select("id", "text").mapInArrow(_sets, "id bigint, set array<bigint>").dropDuplicates(["id"]), "shingle-sets")
     first, _ = write_scratch(confirmed(pairs.where("first"), sets, min_percent), "links")
-    joined = connected_components(first)
+    joined = connected_components(first, stored=True)
     ca, cb = joined.select(F.col("id").alias("a"), F.col("component").alias("ca")), joined.select(F.col("id").alias("b"), F.col("component").alias("cb"))
     rest = pairs.where(~F.col("first")).join(ca, "a", "left").join(cb, "b", "left")
     rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
@@ -417,7 +499,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of_class, _ = write_scratch(of_class, "classes")  # a stored side, so that a digest of very many rows can be split
     full = signed.where("n_shingles > 0").select("id", "n_shingles", "digest").join(of_class, "digest").select("id", "n_shingles", "component_id")
     empty = signed.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
-    return full.union(empty).select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    named = full.union(empty).select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    none = F.lit(None).cast("bigint")
+    nameless = docs.where(docs[id_col].isNull()).select(F.lit(0).cast("bigint").alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    sizes = nameless.mapInArrow(_sign, _SIGNED).select(none.alias(id_col), "n_shingles", none.alias("component_id"), F.lit(True).alias("kept"))
+    return named.union(sizes)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -426,7 +512,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     Rows without id are compared with nothing and all stay.  Of rows that repeat
     a kept id and its text one stays; another text of that id stays too.
     """
-    kept = near_duplicates(docs, id_col, text_col, **options).where("kept").groupBy(id_col).agg(F.count("*").alias("_rows"))
+    kept = near_duplicates(docs.where(docs[id_col].isNotNull()), id_col, text_col, **options).where("kept").groupBy(id_col).agg(F.count("*").alias("_rows"))
     kept, _ = write_scratch(kept, "kept")
     once = docs.join(kept.where("_rows = 1"), id_col, "left_semi")
     often = docs.join(kept.where("_rows > 1"), id_col, "left_semi").dropDuplicates([id_col, text_col])
