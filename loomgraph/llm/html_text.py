@@ -16,13 +16,14 @@ limit.  Pairs across the edge of two partitions are made in a second pass
 over the first and the last run of copies of each, one row for each form.
 
 Defined results: null html is empty; a page without text has the empty text;
-a null or broken URL is a host of its own; equal rows give equal results; an
-empty table gives an empty table; further columns are ignored.
+a null or broken URL is a host of its own; equal rows give equal results; rows
+without id are extracted like others, but the lines that only their neighbours
+show as shared stay; ids that are not integers are refused; an empty table gives
+an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
 
-import bisect
 import html as html_lib
 import re
 from collections.abc import Iterator
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, text_or_empty, write_scratch
+from .common import pieces, range_count, text_or_empty, whole_ids, write_scratch
 
 #: Two pages are copies if each has at most this share of its text, and at most
 #: so many characters, to itself: a date or a counter.
@@ -138,33 +139,53 @@ def lines_of(html: str) -> list[tuple[int, str]]:
     return out
 
 
+#: Rows of the alignment that are kept at once; the others are made again.
+ROWS = 256
+
+
+def _next_row(row: int, met: int, full: int) -> int:
+    """One line further: a 0 bit tells where the common length grows."""
+    both = row & met
+    return ((row + both) | (row - both)) & full if both else row
+
+
 def common_lines(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Longest common subsequence as index pairs (Hunt and Szymanski)."""
+    """Longest common subsequence as index pairs.
+
+    Rows of the length table are bit vectors, so that the cost is the product of
+    the line numbers by 64, however often lines repeat; every ROWS-th row is kept.
+    """
     start = 0
     while start < min(len(a), len(b)) and a[start] == b[start]:
         start += 1
     end = 0
     while end < min(len(a), len(b)) - start and a[-1 - end] == b[-1 - end]:
         end += 1
-    places: dict[int, list[int]] = {}
-    for j in range(len(b) - end - 1, start - 1, -1):
-        places.setdefault(b[j], []).append(j)
-    tails: list[int] = []
-    links: list[tuple] = []
-    for i in range(start, len(a) - end):
-        for j in places.get(a[i], ()):
-            k = bisect.bisect_left(tails, j)
-            link = (i, j, links[k - 1] if k else None)
-            if k == len(tails):
-                tails.append(j)
-                links.append(link)
-            elif j < tails[k]:
-                tails[k], links[k] = j, link
-    middle = []
-    link = links[-1] if links else None
-    while link:
-        middle.append(link[:2])
-        link = link[2]
+    x, y = a[start : len(a) - end], b[start : len(b) - end]
+    places: dict[int, int] = {}
+    for j, line in enumerate(y):
+        places[line] = places.get(line, 0) | 1 << j
+    full = (1 << len(y)) - 1
+    row, kept = full, []
+    for i, line in enumerate(x):
+        if i % ROWS == 0:
+            kept.append(row)
+        row = _next_row(row, places.get(line, 0), full)
+    middle, j = [], len(y)
+    for block in range(len(kept) - 1, -1, -1):
+        rows = [kept[block]]
+        for line in x[block * ROWS : (block + 1) * ROWS]:
+            rows.append(_next_row(rows[-1], places.get(line, 0), full))
+        i = len(rows) - 1
+        while i and j:
+            bit = 1 << (j - 1)
+            if rows[i] & bit:
+                j -= 1
+            else:
+                i -= 1
+                if rows[i] & bit:  # the length grew with this very line
+                    j -= 1
+                    middle.append((start + block * ROWS + i, start + j))
     return [(i, i) for i in range(start)] + middle[::-1] + [(len(a) - end + i, len(b) - end + i) for i in range(end)]
 
 
@@ -299,10 +320,8 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def template_lines(pages: DataFrame) -> DataFrame:
     """(id, content, gone): numbers of the lines that a neighbour shares."""
-    spark = pages.sparkSession
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    narrow = pages.mapInArrow(_pages, _PAGE)
-    narrow, _ = write_scratch(narrow, "page-lines")
+    narrow, _ = write_scratch(pages.mapInArrow(_pages, _PAGE), "page-lines")
+    parts = range_count(narrow, 4096)
     ordered = narrow.repartitionByRange(parts, "host", "path", "id").sortWithinPartitions("host", "path", "id", "content")
     found, _ = write_scratch(ordered.mapInArrow(_neighbours, _FOUND), "page-pairs")
     across = found.where("kind <> 'drop'").coalesce(1).mapInArrow(_edges, _FOUND)  # two runs of each partition
@@ -324,6 +343,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, text and n_chars of every page."""
+    whole_ids(pages, id_col)
     html = text_or_empty(html_col)
     base = pages.select(pages[id_col].cast("bigint").alias("id"), F.col(url_col).alias("url"), html.alias("html"), F.xxhash64(html).alias("content"))
     gone = template_lines(base.select("id", F.coalesce("url", F.lit("")).alias("url"), "html", "content"))

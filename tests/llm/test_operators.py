@@ -385,6 +385,58 @@ def test_common_lines(a, b):
     assert len(pairs) == table[-1][-1]
 
 
+def test_common_lines_of_very_many_repeats():
+    a, b = [1] + [7] * 20_000 + [2], [3] + [7] * 15_000 + [4, 7] + [5]
+    assert len(html_text.common_lines(a, b)) == 15_001
+
+
+def test_html_against_brute_force(spark):
+    """Differencing alone: pages without article or known class names, their
+    neighbours found by sorting all pages and aligned by the quadratic table."""
+    r = random.Random(21)
+    rows, pages = [], []
+    for k in range(60):
+        host = f"h{r.randrange(4)}.example"
+        theme = [f"theme {host} part {i} " + "x" * (i + 3) for i in range(7)]
+        own = [f"story {k} line {i} " + "words " * 5 for i in range(r.randrange(1, 5))]
+        lines = sorted([(i * 10, t) for i, t in enumerate(theme) if r.random() < 0.8] + [(r.randrange(35, 45), t) for t in own])
+        pages.append((host, f"/{r.choice('abc')}/{r.randrange(90):02}", k, [t for _, t in lines]))
+    pages += [(h, p + "x", 100 + k, t) for h, p, k, t in pages[:6]]  # copies beside their originals
+    rows = [(k, f"http://{h}{p}", "".join(f"<p>{t}</p>" for t in lines)) for h, p, k, lines in pages]
+
+    def shared(a, b):
+        n = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                n[i + 1][j + 1] = n[i][j] + 1 if x == y else max(n[i][j + 1], n[i + 1][j])
+        i, j, out = len(a), len(b), set()
+        while i and j:
+            if a[i - 1] == b[j - 1]:
+                i, j = i - 1, j - 1
+                out.add(a[i])
+            elif n[i - 1][j] >= n[i][j - 1]:
+                i -= 1
+            else:
+                j -= 1
+        return out
+
+    def copies(a, b):
+        both = sum(map(len, shared(a, b)))
+        return all(sum(map(len, x)) - both <= min(40, 0.05 * sum(map(len, x))) for x in (a, b))
+
+    want = {}
+    for host in {p[0] for p in pages}:
+        ranked = sorted(p[1:] for p in pages if p[0] == host)
+        for at, (_, k, lines) in enumerate(ranked):
+            gone = set()
+            for others in (ranked[:at][::-1], ranked[at + 1 :]):
+                near = next((t for _, _, t in others if not copies(t, lines)), None)
+                gone |= shared(lines, near) if near else set()
+            want[k] = " ".join(" ".join(t.split()) for t in lines if t not in gone)
+    got = {x["page_id"]: x["text"] for x in html_text.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == want and sum(len(t) for t in want.values()) < 0.7 * sum(len(t) for p in pages for t in p[3])
+
+
 @pytest.mark.parametrize("least", [0, 40])
 def test_warc(pages, least):
     unique = {p[0]: (p[2] or "").encode() for p in PAGES}
