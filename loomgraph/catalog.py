@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import catalog_container, catalog_operands
 from .functions.values import FIELD, Kind
 from .operators.operands import Discriminator, EdgeDirection, MatchMode
 from .plans.star import star_graph
@@ -347,7 +348,7 @@ select 'ungrouped', 0
 
 
 def _export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return star_graph(spark, sf_dir).export("node", "supplier").drop("s_acctbal")
+    return star_graph(spark, sf_dir).export("node", "supplier")
 
 
 def _mutated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -379,15 +380,17 @@ def _flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(ENTRIES)
     out |= {name: _unpacked(name, kind) for name, kind in _UNPACKED.items()}
+    out |= catalog_operands.queries() | catalog_container.queries()
     return out | {"c01_container": _members, "c02_export": _export, "c03_remove_cascade": _mutated, "c04_events": _flow}
 
 
 def oracle_sql() -> dict[str, str]:
     out = {name: e.sql for name, e in ENTRIES.items() if e.sql is not None}
+    out |= catalog_operands.oracle_sql() | catalog_container.oracle_sql()
     return out | {
         "v10_to_values": "select 'r:' || r_regionkey as id, cast(r_regionkey as bigint) as value from region",
         "c01_container": _MEMBERS_SQL,
-        "c02_export": "select 's:' || s_suppkey as node_index, s_name, cast(s_nationkey as bigint) as s_nationkey, s_suppkey from supplier",
+        "c02_export": "select 's:' || s_suppkey as node_index, s_acctbal, s_name, cast(s_nationkey as bigint) as s_nationkey, s_suppkey from supplier",
         "c03_remove_cascade": "select 'n:' || n as target, count(*) as n from (select c_nationkey as n from customer union all select s_nationkey from supplier) where n in (select n_nationkey from nation where n_regionkey <> 0) group by 1",
         "c04_events": "select 't:' || event_type as \"group\", max(ts) as value, max_by(event_id, (ts, event_id)) as id from events group by 1",
     }
