@@ -15,12 +15,15 @@ bits where a false match only costs work, 128 bits where it decides).
 
 Equal rows are combined inside every task before each shuffle, so a passage
 that very many documents share reaches a group once per task, and groups are
-streamed in sorted order.
+streamed in sorted order.  An anchor with more than ``MOST`` different windows
+(a common phrase) is not held by one task: its windows are dealt once more by
+their whole content.
 
 Defined results: null text is empty; texts under ``LENGTH`` bytes lose
-nothing; rows of one id have one text (equal rows get equal results); rows
-without id are left out; an empty table gives an empty table; further columns
-are ignored.
+nothing; rows of one id have one text (equal rows get equal results); a row
+without id has no place in the order, so it is compared with nothing and loses
+nothing; ids that are not integers are refused; an empty table gives an empty
+table; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,11 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_paths, id_and_text, pieces, release, write_scratch
+from .common import drop_paths, id_and_text, pieces, release, whole_ids, write_scratch
 
 LENGTH = 100
 GRAM = 32
 CHUNK = 1 << 20
+#: Different windows of one anchor that a task holds.
+MOST = 1 << 18
 _POSITION = np.uint64((1 << 24) - 1)
 _RNG = np.random.default_rng(424_242)
 _LETTER = _RNG.integers(0, 2**63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -238,12 +243,22 @@ def _contexts(length: int):
     return run
 
 
-def _covered(length: int):
-    """Of contexts sorted by (h, id, start) the ranges of windows seen before."""
+_RANGE = "id bigint, start bigint, stop bigint, k1 bigint, k2 bigint"
+
+
+def _ranges(ids, start, stop=None, keys=None) -> pa.RecordBatch:
+    none = pa.nulls(len(ids), pa.int64())
+    k1, k2 = (pa.array(np.asarray(k).view(np.int64)) for k in keys) if keys is not None else (none, none)
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(start), none if stop is None else pa.array(stop), k1, k2], names=["id", "start", "stop", "k1", "k2"])
+
+
+def _covered(length: int, most: int):
+    """Of contexts sorted by (h, id, start) the ranges of windows seen before, and
+    (without a stop) the windows of anchors that have too many, with their keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolls = Rolling(0), Rolling(1)
-        open_h, open_keys, last = None, set(), None
+        open_h, open_keys, last, full = None, {}, None, False
         for batch in batches:
             for part in pieces(batch, 8192):
                 keys = np.stack([part.column(k).to_numpy() for k in range(3)], axis=1)
@@ -266,20 +281,53 @@ def _covered(length: int):
                 a, b = k1[order], k2[order]
                 before = np.zeros(len(order), bool)
                 before[order[1:]] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+                late = np.zeros(len(order), bool)
                 if h[0] == open_h:
-                    for x in range(int(np.searchsorted(row, np.searchsorted(h, open_h, "right"), "left"))):
-                        if not before[x] and (int(k1[x]), int(k2[x])) in open_keys:
-                            before[x] = True
+                    held = int(np.searchsorted(row, np.searchsorted(h, open_h, "right"), "left"))
+                    if full:
+                        late[:held] = ~before[:held]
+                    else:
+                        for x in range(held):
+                            if not before[x] and (int(k1[x]), int(k2[x])) in open_keys:
+                                before[x] = True
                 if h[-1] != open_h:
-                    open_h, open_keys = h[-1], set()
-                tail = int(np.searchsorted(row, np.searchsorted(h, h[-1], "left"), "left"))
-                fresh = np.flatnonzero(~before[tail:]) + tail
-                open_keys.update(zip(k1[fresh].tolist(), k2[fresh].tolist(), strict=True))
+                    open_h, open_keys, full = h[-1], {}, False
+                if not full:
+                    tail = int(np.searchsorted(row, np.searchsorted(h, h[-1], "left"), "left"))
+                    fresh = np.flatnonzero(~before[tail:]) + tail
+                    places = zip(ids[row[fresh]].tolist(), (start[row[fresh]] + j[fresh]).tolist(), strict=True)
+                    open_keys.update(zip(zip(k1[fresh].tolist(), k2[fresh].tolist(), strict=True), places, strict=True))
+                    if len(open_keys) > most:
+                        full = True
+                        at_keys, at_places = np.array(list(open_keys), np.uint64), np.array(list(open_keys.values()), np.int64)
+                        open_keys = {}
+                        yield _ranges(at_places[:, 0], at_places[:, 1], keys=(at_keys[:, 0].copy(), at_keys[:, 1].copy()))
+                if late.any():
+                    r = row[late]
+                    yield _ranges(ids[r], start[r] + j[late], keys=(k1[late], k2[late]))
                 edge = np.concatenate(([True], row[1:] != row[:-1]))
                 begin = np.flatnonzero(before & (edge | ~np.concatenate(([False], before[:-1]))))
                 end = np.flatnonzero(before & (np.concatenate((edge[1:], [True])) | ~np.concatenate((before[1:], [False]))))
                 r = row[begin]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(start[r] + j[begin]), pa.array(start[r] + j[end] + length)], names=["id", "start", "stop"])
+                yield _ranges(ids[r], start[r] + j[begin], start[r] + j[end] + length)
+
+    return run
+
+
+def _seen_before(length: int):
+    """Of windows sorted by key, id and start all but the first of each key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            if batch.num_rows:
+                keys = np.stack([batch.column(k).to_numpy() for k in (3, 4)], axis=1)
+                ahead = np.concatenate((keys[:1] if last is None else last, keys[:-1]))
+                again = (keys == ahead).all(axis=1)
+                again[0] &= last is not None
+                last = keys[-1:]
+                ids, start = batch.column(0).to_numpy()[again], batch.column(1).to_numpy()[again]
+                yield _ranges(ids, start, start + length)
 
     return run
 
@@ -312,7 +360,7 @@ def _cut(keep_text: bool):
     return run
 
 
-def covered_ranges(base: DataFrame, keyed: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
+def covered_ranges(base: DataFrame, keyed: DataFrame, length: int = LENGTH, most: int = MOST) -> tuple[DataFrame, DataFrame]:
     """(first texts: id, ranges: id, start, stop) of distinct texts; see the module."""
     spark = base.sparkSession
     long = base.where(F.octet_length("text") >= length)
@@ -327,19 +375,21 @@ def covered_ranges(base: DataFrame, keyed: DataFrame, length: int = LENGTH) -> t
     drop_paths(spark, survivors_path)
     release(spark)
     groups = contexts.where("h is not null").select("h", "id", "start", "anchor", "context").repartition("h").sortWithinPartitions("h", "id", "start")
-    met = groups.mapInArrow(_covered(length), "id bigint, start bigint, stop bigint")
-    ranges, _ = write_scratch(met.union(contexts.where("h is null").select("id", "start", "stop")), "ranges")
+    none = F.lit(None).cast("bigint")
+    met, _ = write_scratch(groups.mapInArrow(_covered(length, most), _RANGE).union(contexts.where("h is null").select("id", "start", "stop", none, none)), "ranges")
     drop_paths(spark, contexts_path)
     release(spark)
-    return firsts.select("id"), ranges
+    late = met.where("stop is null").repartition("k1", "k2").sortWithinPartitions("k1", "k2", "id", "start").mapInArrow(_seen_before(length), _RANGE)
+    return firsts.select("id"), met.where("stop is not null").union(late).select("id", "start", "stop")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_text: bool = False, most: int = MOST) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256, and with ``keep_text`` the
     kept text (bytes that no longer form a character are replaced)."""
+    whole_ids(docs, id_col)
     base = id_and_text(docs, id_col, text_col).select(F.col("id").cast("bigint").alias("id"), "text")
     keyed = base.select("id", F.sha2("text", 256).alias("sha"), F.xxhash64("text").alias("copy"), F.octet_length("text").cast("bigint").alias("n_bytes"))
-    firsts, ranges = covered_ranges(base, keyed, length)
+    firsts, ranges = covered_ranges(base, keyed, length, most)
     listed = ranges.groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("r")).select("id", F.col("r.start").alias("starts"), F.col("r.stop").alias("stops"))
     wide = base.select("id", F.col("text").cast("binary").alias("text")).join(listed, "id").select("id", "text", "starts", "stops")
     cut = wide.mapInArrow(_cut(keep_text), "id bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string").dropDuplicates(["id"])
@@ -353,7 +403,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
         F.when(copy, F.lit("")).otherwise(F.col("kept")).alias("_kept"),
     )
+    own = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    zero = F.lit(0).cast("bigint")
+    nameless = docs.where(docs[id_col].isNull()).select(F.lit(None).cast("bigint").alias(id_col), F.octet_length(own).cast("bigint").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(own, 256).alias("kept_sha256"), own.alias("kept"))
     if not keep_text:
-        return out.drop("_kept")
+        return out.drop("_kept").union(nameless.drop("kept"))
     texts = base.dropDuplicates(["id"]).select(F.col("id").alias(id_col), "text")
-    return out.join(texts, id_col).withColumn("kept", F.coalesce("_kept", "text")).drop("_kept", "text")
+    return out.join(texts, id_col).withColumn("kept", F.coalesce("_kept", "text")).drop("_kept", "text").union(nameless)

@@ -236,6 +236,25 @@ def test_suffix_dedup(docs, empty):
     assert suffix_dedup.remove_repeats(empty).collect() == []
 
 
+@pytest.mark.parametrize("most", [0, 40, 10**6])
+def test_suffix_dedup_hot_phrase(spark, most):
+    """A phrase in very many different contexts, more than a task may hold."""
+    r = random.Random(8)
+    phrase, words = "one common phrase that stands in every text of this table ", [f"w{k} " for k in range(40)]
+    rows = [(i, "".join(r.choice(words) for _ in range(12)) + phrase + "".join(r.choice(words[:3]) for _ in range(20))) for i in range(300)]
+    rows += [(300 + i, t) for i, t in rows[:20]]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame([*rows, (None, rows[0][1])], "doc_id bigint, text string"), most=most)
+    want = brute.repeats(rows) | {None: (len(rows[0][1]), 0, 0, brute.sha(rows[0][1]))}
+    assert by_id(got, "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+
+
+def test_ids_are_integers(spark):
+    df = spark.createDataFrame([("a", "x", "http://a/", "<p>x</p>")], "doc_id string, text string, url string, html string")
+    for call in (near_dedup.near_duplicates, suffix_dedup.remove_repeats, lambda d: html_text.main_text(d, id_col="doc_id")):
+        with pytest.raises(TypeError, match="ids are integers"):
+            call(df)
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.text("abé", max_size=60), min_size=1, max_size=8))
 def test_suffix_dedup_short_windows(spark, texts):
