@@ -392,7 +392,10 @@ def _labelled(rows: DataFrame, component: DataFrame) -> DataFrame:
 
 def _dealt(rows: DataFrame, chosen, parts: int) -> DataFrame:
     """Rows (run, id, n, component, ..) in a grid for each run: the chosen ones on
-    one side, all on the other; each is repeated for the other side's chunks."""
+    one side, all on the other; each is repeated for the other side's chunks.
+    They are stored once, since sizes and both sides are made of them."""
+    rows, _ = write_scratch(rows.withColumn("chosen", chosen), "run-rows")
+    chosen = F.col("chosen")
     sizes = rows.groupBy("run").agg(F.ceil(F.count(F.when(chosen, 1)) / CHUNK).cast("int").alias("pcs"), F.ceil(F.count("*") / CHUNK).cast("int").alias("rcs"), F.count_distinct("component").alias("components"))
     met = rows.join(sizes.where("pcs > 0 and components > 1").drop("components"), "run")
     at = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
