@@ -10,6 +10,8 @@ learned weights are few and are broadcast; their number is bounded by
 
 It is fitted on at most ``MAX_TRAIN_ROWS`` labelled rows, chosen and ordered
 by a hash of their id, in one task (that bound is what the task holds).
+``ALPHA``, ``L1`` and ``EPOCHS`` were chosen inside the rows that are not held
+out: learned on CRC remainders 0 and 1, judged on 3.
 
 Defined results: null and empty texts score by the bias alone; null labels
 are left out; with no labelled rows every score is 0.5; an empty table gives
@@ -31,7 +33,7 @@ from .common import pieces, text_or_empty
 MAX_TRAIN_ROWS = 12_000
 BITS = 20
 EPOCHS = 4
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 5.0, 0.1
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 12.0, 0.1
 THRESHOLD = 0.3
 WORD_CACHE = 300_000
 
@@ -102,7 +104,6 @@ def train_ftrl(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, epo
     def weights(z, n):
         return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
 
-    bias = 0.0
     for _ in range(epochs):
         for at, y in zip(rows, labels, strict=True):
             zi, ni = z[at], n[at]
@@ -115,7 +116,7 @@ def train_ftrl(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, epo
             n[at] = grown
             bias_z += g - ((bias_n + g * g) ** 0.5 - bias_n**0.5) / alpha * bias
             bias_n += g * g
-    return weights(z, n), bias
+    return weights(z, n), -bias_z / ((beta + bias_n**0.5) / alpha)
 
 
 def held_out(id_col: str) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -97,3 +98,73 @@ def contaminated(text: str | None, items: list[tuple[int, str | None]]) -> tuple
 
 def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+
+def toxic_features(text):
+    """Names of all features: words, pairs, triples, skip-grams and stems."""
+    w = re.findall("[0-9a-z\u0080-\U0010ffff]+", text.lower())
+    out = {("stem", n, x[:n]) for x in w for n in (3, 4, 5) if len(x) > n}
+    for offsets in ((0,), (0, 1), (0, 1, 2), (0, 2), (0, 3)):
+        out |= {(offsets, *[w[i + o] for o in offsets]) for i in range(len(w) - offsets[-1])}
+    return out
+
+
+def ftrl(rows, labels, epochs, alpha, beta, l1, l2):
+    """FTRL-proximal, one coordinate at a time; the bias is not regularised."""
+    z, n = {}, {}
+
+    def weight(k):
+        at, one, two = z.get(k, 0.0), *((0.0, 0.0) if k == "bias" else (l1, l2))
+        return 0.0 if k != "bias" and abs(at) <= one else -(at - math.copysign(one, at)) / ((beta + math.sqrt(n.get(k, 0.0))) / alpha + two)
+
+    for _ in range(epochs):
+        for row, y in zip(rows, labels, strict=True):
+            w = {k: weight(k) for k in ["bias", *row]}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for k, v in w.items():
+                before = n.get(k, 0.0)
+                n[k] = before + g * g
+                z[k] = z.get(k, 0.0) + g - (math.sqrt(n[k]) - math.sqrt(before)) / alpha * v
+    return {k: weight(k) for k in z}
+
+
+def _best_cut(rows):
+    """((gain, gap), feature, direction, threshold) of the best test, or None."""
+    info = lambda p, n: math.log2((p + 1) / (n + 2))
+    best = None
+    for f in range(len(rows[0][0])):
+        values = sorted({x[f] for x, _ in rows})
+        for lo, hi in zip(values, values[1:], strict=False):
+            for up in (False, True):
+                bad = [b for x, b in rows if (x[f] >= hi if up else x[f] <= lo)]
+                p = sum(bad)
+                gain = round(p * (info(p, len(bad)) - info(sum(b for _, b in rows), len(rows))), 9)
+                if p and gain > 0 and (best is None or (gain, (hi - lo) / (values[-1] - values[0])) > best[0]):
+                    best = (gain, (hi - lo) / (values[-1] - values[0])), f, up, (lo + hi) / 2
+    return best
+
+
+def covering(x, bad, least_precision=0.75, least_rows=4, max_rules=12, max_tests=4):
+    """Sequential covering over lists: rules of (feature, direction, threshold)."""
+    every = list(zip(x, bad, strict=True))
+    grow, prune = [r for k, r in enumerate(every) if k % 3 < 2], [r for k, r in enumerate(every) if k % 3 == 2]
+    holds = lambda rule, v: all(v[f] >= t if up else v[f] <= t for f, up, t in rule)
+    caught = lambda rule, rows: [b for v, b in rows if holds(rule, v)]
+    precision = lambda rule: (sum(caught(rule, prune)) + 1) / (len(caught(rule, prune)) + 2)
+    rules = []
+    while sum(b for _, b in grow) >= least_rows and len(rules) < max_rules:
+        rule, left = [], grow
+        while left and len(rule) < max_tests and not all(b for _, b in left) and (cut := _best_cut(left)):
+            rule.append(cut[1:])
+            left = [r for r in left if holds(rule, r[0])]
+        while len(rule) > 1:
+            without = [rule[:k] + rule[k + 1 :] for k in range(len(rule))]
+            shorter = max(without, key=precision)
+            if precision(shorter) < precision(rule):
+                break
+            rule = shorter
+        if not rule or not caught(rule, grow) or precision(rule) < least_precision or sum(caught(rule, prune)) < 2:
+            break
+        rules.append(rule)
+        grow, prune = ([r for r in rows if not holds(rule, r[0])] for rows in (grow, prune))
+    return rules

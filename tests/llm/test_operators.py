@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -283,6 +284,20 @@ def test_quality_learns(spark):
     assert kept == {i for i in range(240) if i % 4}
 
 
+def test_quality_covering_against_brute_force():
+    """Two overlapping causes and some noise: the rules, in order, are those of
+    plain lists; lists that pruning leaves empty occur as well."""
+    learned = 0
+    for seed in range(8):
+        r = np.random.default_rng(seed)
+        x = r.random((150, 4))
+        bad = ((x[:, 0] > 0.7) & (x[:, 1] < 0.6)) | (x[:, 2] < 0.12) | (r.random(150) < 0.04)
+        got = [[(t.feature, t.at_least, t.value) for t in rule] for rule in quality.learn(x, bad)]
+        assert got == brute.covering(x.tolist(), bad.tolist())
+        learned += bool(got)
+    assert learned >= 5
+
+
 def test_decontamination(spark, docs, empty):
     items = [(3, PASSAGE), (10, None), (20, "..!"), (30, "one two"), (4, prose(2, 200)[300:700]), (5, PASSAGE)]
     benchmark = spark.createDataFrame(items, "item_id bigint, text string")
@@ -331,6 +346,29 @@ def test_toxicity(spark, docs, empty):
     assert {x["score"] for x in toxicity.score(docs, toxicity.fit(df, labels.limit(0))).collect()} == {0.5}
 
 
+def test_toxicity_features_against_brute_force():
+    """Texts share as many places as named features; 60 bits leave no collisions."""
+    texts = [t or "" for t in TEXTS if len(t or "") < 5000] + ["Abcdef abcdeg ABCDEF, it's x1 naïve", "中文 token token token"]
+    names = [brute.toxic_features(t) for t in texts]
+    doc, place = toxicity.Hasher(60)(texts)
+    found = [set(place[doc == k].tolist()) for k in range(len(texts))]
+    assert [len(f) for f in found] == [len(n) for n in names]
+    assert all(len(found[a] & found[b]) == len(names[a] & names[b]) for a in range(len(texts)) for b in range(a))
+
+
+@pytest.mark.parametrize("l1", [0.0, 0.5, 3.0])
+def test_toxicity_learner_against_brute_force(l1):
+    r = np.random.default_rng(5)
+    rows = [np.unique(r.integers(0, 64, 9)) for _ in range(200)]
+    labels = np.array([float(3 in row or r.random() < 0.1) for row in rows])
+    options = {"epochs": 3, "alpha": 0.7, "beta": 1.0, "l1": l1, "l2": 0.1}
+    weights, bias = toxicity.train_ftrl(rows, labels, bits=6, **options)
+    want = brute.ftrl([row.tolist() for row in rows], labels.tolist(), **options)
+    assert bias == pytest.approx(want.pop("bias"), abs=1e-9)
+    assert weights.tolist() == pytest.approx([want.get(k, 0.0) for k in range(64)], abs=1e-9)
+    assert l1 < 3 or 0 < np.count_nonzero(weights) < 64
+
+
 PAGES = [
     (1, "http://www.a.example/x/1", "<html><head><title>t</title></head><body><nav><a href='/'>Home</a></nav><article><h1>One &amp; only</h1><p>First <b>bold</b>\n text<p>Second<aside>related</aside></article><div class='comments'><p>nice</p></div><footer>&copy; a</footer></body></html>"),
     (2, "http://a.example/x/2", "<div>Site name</div><p>Page two text is here.</p><div class=ad>Buy</div><p>Last updated often</p><script>var a='</p>';</script>"),
