@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, maybe_in, pieces, range_count, whole_ids, write_scratch
+from .common import drop_paths, id_and_text, maybe_in, pieces, range_count, release, whole_ids, write_scratch
 from .components import connected_components
 
 SHINGLE_WORDS = 5
@@ -278,21 +278,21 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = (carry + tail if len(tail) < NEIGHBOURS else tail)[-NEIGHBOURS:]
 
 
-def candidate_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def candidate_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame, str]:
     """nodes (id, n_shingles, sig, sketch) -> distinct (a, b, first) of the
-    neighbour windows, and the rows (run, id, n) of longer runs."""
-    spark = nodes.sparkSession
+    neighbour windows, the rows (run, id, n) of longer runs, and the path both read."""
     twice = F.concat("sig", "sig")
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
     rows = nodes.select("id", twice.alias("twice"), tree.alias("tree"), "n_shingles", "sketch")
     rows = rows.select("tree", F.expr(f"substring(twice, tree * {4 * STRIDE} + 1, {4 * DEPTH})").alias("key"), "id", "n_shingles", "sketch")
     parts = range_count(nodes, TREES * (8 * DEPTH + SKETCH))
     ranged = rows.repartitionByRange(parts, "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
-    found, _ = write_scratch(ranged.mapInArrow(_scan, _ROWS), "forest-pairs")
+    found, path = write_scratch(ranged.mapInArrow(_scan, _ROWS), "forest-pairs")
+    release(nodes.sparkSession)
     # two times NEIGHBOURS rows of each partition: bounded by their number
     ends = found.where("kind in ('head', 'tail')").coalesce(1).mapInArrow(_across, _ROWS)
     runs = found.where("kind = 'run'").select(F.col("key").alias("run"), F.col("a").alias("id"), F.col("b").alias("n"))
-    return found.where("kind = 'pair'").union(ends).groupBy("a", "b").agg(F.max("first").alias("first")), runs
+    return found.where("kind = 'pair'").union(ends).groupBy("a", "b").agg(F.max("first").alias("first")), runs, path
 
 
 def _planes(sketches: list[bytes]) -> np.ndarray:
@@ -390,19 +390,26 @@ def _labelled(rows: DataFrame, component: DataFrame) -> DataFrame:
     return rows.join(of, "id", "left").select(*rows.columns, F.coalesce("_of", "id").alias("component"))
 
 
-def _dealt(rows: DataFrame, chosen, parts: int) -> DataFrame:
-    """Rows (run, id, n, component, ..) in a grid for each run: the chosen ones on
-    one side, all on the other; each is repeated for the other side's chunks.
-    They are stored once, since sizes and both sides are made of them."""
-    rows, _ = write_scratch(rows.withColumn("chosen", chosen), "run-rows")
+def _dealt(rows: DataFrame, chosen, payload: DataFrame, parts: int) -> DataFrame:
+    """Rows (run, id, n, component) in a grid for each run: the chosen ones on one
+    side, all on the other; each is repeated for the other side's chunks.
+
+    Rows are stored narrow: an id lies in the runs of many orders, so its
+    ``payload`` (id, sketch, and a set in the second round) is joined by id at the
+    end and moves to the cells only.  Stored sizes let a plan know their size.
+    """
+    rows, _ = write_scratch(rows.select("run", "id", "n", "component", chosen.alias("chosen")), "run-rows")
     chosen = F.col("chosen")
     sizes = rows.groupBy("run").agg(F.ceil(F.count(F.when(chosen, 1)) / CHUNK).cast("int").alias("pcs"), F.ceil(F.count("*") / CHUNK).cast("int").alias("rcs"), F.count_distinct("component").alias("components"))
-    met = rows.join(sizes.where("pcs > 0 and components > 1").drop("components"), "run")
+    sizes, _ = write_scratch(sizes.where("pcs > 0 and components > 1").drop("components"), "run-sizes")
+    met = rows.join(sizes, "run")
     at = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    probes = met.where(chosen).withColumn("pc", at(1, "pcs")).withColumn("rc", every("rcs")).withColumn("probe", F.lit(True))
-    own = met.withColumn("rc", at(2, "rcs")).withColumn("pc", every("pcs")).withColumn("probe", F.lit(False))
-    both = probes.unionByName(own).select(*_DEALT, *[c for c in rows.columns if c == "set"])
+    over = lambda n, cell: F.transform(F.sequence(F.lit(0), F.col(n) - 1), cell)
+    cell = lambda pc, rc, probe: F.struct(pc.alias("pc"), rc.alias("rc"), F.lit(probe).alias("probe"))
+    own = over("pcs", lambda c: cell(c, at(2, "rcs"), False))
+    probes = over("rcs", lambda c: cell(at(1, "pcs"), c, True))
+    cells = F.explode(F.when(chosen, F.concat(probes, own)).otherwise(own))
+    both = met.join(payload, "id").select("*", cells.alias("cell")).select("*", "cell.*").select(*_DEALT, *[c for c in payload.columns if c == "set"])
     return both.repartition(parts, "run", "pc", "rc").sortWithinPartitions("run", "pc", "rc")
 
 
@@ -418,24 +425,28 @@ def settle_runs(base: DataFrame, runs: DataFrame, tested: DataFrame, component:
     if mixed.isEmpty():
         return component
     rows, _ = write_scratch(runs.join(mixed, "run"), "run-rows")
-    ids = rows.select("id").distinct()
+    ids, _ = write_scratch(rows.select("id").distinct(), "run-ids")
     signed = maybe_in(base, "id", ids).join(ids, "id").select("id", "text").mapInArrow(_sets_and_sketches, "id bigint, set array<bigint>, sketch binary")
-    signed, _ = write_scratch(signed.dropDuplicates(["id"]), "run-sets")
-    rows = _labelled(rows.join(signed.select("id", "sketch"), "id"), component)
+    signed, sets_path = write_scratch(signed.dropDuplicates(["id"]), "run-sets")
+    rows = _labelled(rows, component)
     parts = range_count(signed, TREES * FINE // 4)
-    found = _dealt(rows, F.col("component") != F.col("largest"), parts).mapInArrow(_cells(_Cell.best), "p bigint, r bigint, agree bigint, more boolean")
+    found = _dealt(rows, F.col("component") != F.col("largest"), signed.select("id", "sketch"), parts).mapInArrow(_cells(_Cell.best), "p bigint, r bigint, agree bigint, more boolean")
     best = found.groupBy("p").agg(F.sort_array(F.collect_set(F.struct((-F.col("agree")).alias("rank"), "r"))).alias("best"), F.max("more").alias("more"))
     best, _ = write_scratch(best.select("p", F.slice("best", 1, PARTNERS).alias("best"), (F.col("more") | (F.size("best") > PARTNERS)).alias("more")), "best-partners")
     fresh = best.select("p", F.explode("best.r").alias("r")).select(F.least("p", "r").alias("a"), F.greatest("p", "r").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
     component = _joined(component, confirmed(fresh, signed.select("id", "set"), min_percent))
     open_rows = best.where("more").select("p")
+    release(base.sparkSession)
     if open_rows.isEmpty():
+        drop_paths(base.sparkSession, sets_path)
         return component
-    rows = _labelled(runs.join(mixed.select("run"), "run", "left_semi"), component).join(signed, "id")
+    rows = _labelled(runs.join(mixed.select("run"), "run", "left_semi"), component)
     rows = rows.join(open_rows, rows["id"] == open_rows["p"], "left")
     parts = range_count(signed, TREES * (FINE // 4 + 8 * int(signed.agg(F.avg(F.size("set"))).first()[0] or 0)))
-    links = _dealt(rows, F.col("p").isNotNull(), parts).mapInArrow(_cells(lambda cell: cell.links(min_percent)), "a bigint, b bigint")
-    return _joined(component, links)
+    links = _dealt(rows, F.col("p").isNotNull(), signed, parts).mapInArrow(_cells(lambda cell: cell.links(min_percent)), "a bigint, b bigint")
+    component = _joined(component, links)
+    drop_paths(base.sparkSession, sets_path)
+    return component
 
 
 def _joined(component: DataFrame, links: DataFrame) -> DataFrame:
@@ -486,18 +497,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = id_and_text(docs, id_col, text_col).select(F.col("id").cast("bigint").alias("id"), "text")
     signed, _ = write_scratch(base.mapInArrow(_sign, _SIGNED), "signatures")
     classes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("id").alias("node"))
+    classes, _ = write_scratch(classes, "digests")
     nodes = signed.join(classes.select(F.col("node").alias("id")), "id", "left_semi").where("n_shingles > 0").select("id", "n_shingles", "sig", "sketch")
-    pairs, runs = candidate_pairs(nodes)
-    pairs, _ = write_scratch(pairs, "candidates")
-    needed = _needed(pairs)  # distinct, so an inner join adds no row; a semi-join would be pushed below the bitmap
-    sets, _ = write_scratch(maybe_in(base, "id", needed).join(needed, "id").select("id", "text").mapInArrow(_sets, "id bigint, set array<bigint>").dropDuplicates(["id"]), "shingle-sets")
+    spark = docs.sparkSession
+    pairs, runs, runs_path = candidate_pairs(nodes)
+    pairs, pairs_path = write_scratch(pairs, "candidates")
+    # stored, so that the plan knows its size before any text moves
+    needed, _ = write_scratch(_needed(pairs), "needed")  # distinct, so an inner join adds no row; a semi-join would be pushed below the bitmap
+    sets, sets_path = write_scratch(maybe_in(base, "id", needed).join(needed, "id").select("id", "text").mapInArrow(_sets, "id bigint, set array<bigint>").dropDuplicates(["id"]), "shingle-sets")
     first, _ = write_scratch(confirmed(pairs.where("first"), sets, min_percent), "links")
     joined = connected_components(first, stored=True)
+    release(spark)
     ca, cb = joined.select(F.col("id").alias("a"), F.col("component").alias("ca")), joined.select(F.col("id").alias("b"), F.col("component").alias("cb"))
     rest = pairs.where(~F.col("first")).join(ca, "a", "left").join(cb, "b", "left")
     rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     links = first.union(confirmed(rest, sets, min_percent))
-    component = settle_runs(base, runs, pairs.select("a", "b"), connected_components(links), min_percent)
+    component = connected_components(links)
+    # components are stored tables, so what they were made of can go
+    drop_paths(spark, sets_path)
+    release(spark)
+    component = settle_runs(base, runs, pairs.select("a", "b"), component, min_percent)
+    drop_paths(spark, runs_path, pairs_path)
+    release(spark)
     of_class = classes.join(component, classes["node"] == component["id"], "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     of_class, _ = write_scratch(of_class, "classes")  # a stored side, so that a digest of very many rows can be split
     full = signed.where("n_shingles > 0").select("id", "n_shingles", "digest").join(of_class, "digest").select("id", "n_shingles", "component_id")
