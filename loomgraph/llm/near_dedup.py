@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, maybe_in, pieces, range_count, whole_ids, write_scratch
+from .common import drop_paths, id_and_text, maybe_in, pieces, range_count, whole_ids, write_scratch
 from .components import connected_components
 
 SHINGLE_WORDS = 5
@@ -390,22 +390,35 @@ def _labelled(rows: DataFrame, component: DataFrame) -> DataFrame:
     return rows.join(of, "id", "left").select(*rows.columns, F.coalesce("_of", "id").alias("component"))
 
 
-def _dealt(rows: DataFrame, chosen, parts: int) -> DataFrame:
-    """Rows (run, id, n, component, ..) in a grid for each run: the chosen ones on
-    one side, all on the other; each is repeated for the other side's chunks.
-    They are stored once, since sizes and both sides are made of them."""
-    rows, _ = write_scratch(rows.withColumn("chosen", chosen), "run-rows")
-    chosen = F.col("chosen")
-    sizes = rows.groupBy("run").agg(F.ceil(F.count(F.when(chosen, 1)) / CHUNK).cast("int").alias("pcs"), F.ceil(F.count("*") / CHUNK).cast("int").alias("rcs"), F.count_distinct("component").alias("components"))
-    met = rows.join(sizes.where("pcs > 0 and components > 1").drop("components"), "run")
+def _chunks(rows):
+    """Chunks of a side of a run's grid."""
+    return F.ceil(rows / CHUNK).cast("int")
+
+
+def _dealt(rows: DataFrame, signed: DataFrame, parts: int) -> DataFrame:
+    """Stored rows (run, id, n, component, chosen, pcs, rcs) in a grid for each run:
+    the chosen ones on one side, all on the other; each is repeated for the other
+    side's chunks.  Sketches (and sets) come from ``signed``."""
     at = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    probes = met.where(chosen).withColumn("pc", at(1, "pcs")).withColumn("rc", every("rcs")).withColumn("probe", F.lit(True))
-    own = met.withColumn("rc", at(2, "rcs")).withColumn("pc", every("pcs")).withColumn("probe", F.lit(False))
-    both = probes.unionByName(own).select(*_DEALT, *[c for c in rows.columns if c == "set"])
+    probes = rows.where("chosen").join(signed, "id").withColumn("pc", at(1, "pcs")).withColumn("rc", every("rcs")).withColumn("probe", F.lit(True))
+    own = rows.join(signed, "id").withColumn("rc", at(2, "rcs")).withColumn("pc", every("pcs")).withColumn("probe", F.lit(False))
+    both = probes.unionByName(own).select(*_DEALT, *[c for c in signed.columns if c == "set"])
     return both.repartition(parts, "run", "pc", "rc").sortWithinPartitions("run", "pc", "rc")
 
 
+def _open_rows(rows: DataFrame, component: DataFrame, open_ids: DataFrame) -> DataFrame:
+    """Rows of the runs that hold an open id (column ``p``) and several components,
+    for the second round.  Each meets the sizes of its run once."""
+    spark = rows.sparkSession
+    rows = _labelled(rows.select("run", "id", "n"), component).join(open_ids, F.col("id") == F.col("p"), "left")
+    rows, path = write_scratch(rows.withColumn("chosen", F.col("p").isNotNull()).drop("p"), "run-rows")
+    sizes = rows.groupBy("run").agg(_chunks(F.count(F.when(F.col("chosen"), 1))).alias("pcs"), _chunks(F.count("*")).alias("rcs"), (F.min("component") < F.max("component")).alias("apart"))
+    met, _ = write_scratch(rows.join(sizes.where("pcs > 0 and apart").drop("apart"), "run"), "run-rows")
+    drop_paths(spark, path)
+    return met
+
+
 def settle_runs(base: DataFrame, runs: DataFrame, tested: DataFrame, component: DataFrame, min_percent: int) -> DataFrame:
     """Components after every pair of a long run that is still apart was tried.
 
@@ -413,28 +426,27 @@ def settle_runs(base: DataFrame, runs: DataFrame, tested: DataFrame, component:
     concerned are read once, for sets and fine sketches.
     """
     each = _labelled(runs.select("run", "id"), component).groupBy("run", "component").agg(F.count("*").alias("k"))
-    mixed = each.groupBy("run").agg(F.sum("k").alias("k"), F.max_by("component", F.struct("k", "component")).alias("largest"), F.count("*").alias("components"))
-    mixed, _ = write_scratch(mixed.where((F.col("k") > NEIGHBOURS + 1) & (F.col("components") > 1)).select("run", "largest"), "mixed-runs")
+    mixed = each.groupBy("run").agg(F.sum("k").alias("k"), F.max("k").alias("most"), F.max_by("component", F.struct("k", "component")).alias("largest"), F.count("*").alias("components"))
+    mixed = mixed.where((F.col("k") > NEIGHBOURS + 1) & (F.col("components") > 1))
+    mixed, _ = write_scratch(mixed.select("run", "largest", _chunks(F.col("k") - F.col("most")).alias("pcs"), _chunks(F.col("k")).alias("rcs")), "mixed-runs")
     if mixed.isEmpty():
         return component
-    rows, _ = write_scratch(runs.join(mixed, "run"), "run-rows")
+    rows = _labelled(runs.join(mixed, "run"), component).withColumn("chosen", F.col("component") != F.col("largest"))
+    rows, _ = write_scratch(rows.drop("largest"), "run-rows")
     ids = rows.select("id").distinct()
     signed = maybe_in(base, "id", ids).join(ids, "id").select("id", "text").mapInArrow(_sets_and_sketches, "id bigint, set array<bigint>, sketch binary")
     signed, _ = write_scratch(signed.dropDuplicates(["id"]), "run-sets")
-    rows = _labelled(rows.join(signed.select("id", "sketch"), "id"), component)
     parts = range_count(signed, TREES * FINE // 4)
-    found = _dealt(rows, F.col("component") != F.col("largest"), parts).mapInArrow(_cells(_Cell.best), "p bigint, r bigint, agree bigint, more boolean")
+    found = _dealt(rows, signed.select("id", "sketch"), parts).mapInArrow(_cells(_Cell.best), "p bigint, r bigint, agree bigint, more boolean")
     best = found.groupBy("p").agg(F.sort_array(F.collect_set(F.struct((-F.col("agree")).alias("rank"), "r"))).alias("best"), F.max("more").alias("more"))
     best, _ = write_scratch(best.select("p", F.slice("best", 1, PARTNERS).alias("best"), (F.col("more") | (F.size("best") > PARTNERS)).alias("more")), "best-partners")
     fresh = best.select("p", F.explode("best.r").alias("r")).select(F.least("p", "r").alias("a"), F.greatest("p", "r").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
     component = _joined(component, confirmed(fresh, signed.select("id", "set"), min_percent))
-    open_rows = best.where("more").select("p")
-    if open_rows.isEmpty():
+    open_ids = best.where("more").select("p")
+    if open_ids.isEmpty():
         return component
-    rows = _labelled(runs.join(mixed.select("run"), "run", "left_semi"), component).join(signed, "id")
-    rows = rows.join(open_rows, rows["id"] == open_rows["p"], "left")
     parts = range_count(signed, TREES * (FINE // 4 + 8 * int(signed.agg(F.avg(F.size("set"))).first()[0] or 0)))
-    links = _dealt(rows, F.col("p").isNotNull(), parts).mapInArrow(_cells(lambda cell: cell.links(min_percent)), "a bigint, b bigint")
+    links = _dealt(_open_rows(rows, component, open_ids), signed, parts).mapInArrow(_cells(lambda cell: cell.links(min_percent)), "a bigint, b bigint")
     return _joined(component, links)
 
 

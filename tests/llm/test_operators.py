@@ -1,6 +1,7 @@
 """The ten operators against plain Python, on inputs with every awkward case."""
 
 import random
+import re
 
 import numpy as np
 import public_tokenizers
@@ -211,6 +212,44 @@ def test_near_duplicate_star(spark):
     assert by_id(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)), "n_shingles", "component_id") == want
 
 
+def joined_rows(spark, keys, run):
+    """Rows made by joins on ``keys`` while ``run`` is called, from Spark's own counts."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    first = max([-1, *(store.executionsList().apply(i).executionId() for i in range(store.executionsList().size()))]) + 1
+    result = run()
+    bus.waitUntilEmpty()
+    made, done = 0, store.executionsList()
+    for e in (done.apply(i).executionId() for i in range(done.size())):
+        nodes, values = store.planGraph(e).allNodes(), store.executionMetrics(e)
+        for node in (nodes.apply(j) for j in range(nodes.size() if e >= first else 0)):
+            if "Join" in node.name() and re.sub(r"#\d+L?", "", node.desc()).split(" ", 1)[1].startswith(keys):
+                found = (values.get(m.accumulatorId()) for m in (node.metrics().apply(k) for k in range(node.metrics().size())) if m.name() == "number of output rows")
+                made += sum(int(v.get().replace(",", "")) for v in found if v.isDefined())
+    return result, made
+
+
+def test_long_runs_meet_their_sizes_once_a_round(spark, monkeypatch):
+    """Documents that are alike but below the limit keep both rounds busy; a row of
+    a long run is joined to its run at most once in each, and no link is lost."""
+    r = random.Random(17)
+    base, texts = [f"w{k}" for k in range(404)], []
+    for i in range(320):
+        w = list(base if i < 280 else texts[i - 280])
+        for k in r.sample(range(8, 396), 8 if i < 280 else 2):
+            w[k] = f"v{i}-{k}"
+        texts.append(w)
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    want = {i: (n, c) for i, (n, c) in brute.near_duplicates(rows).items()}
+    seen, rounds, settle, dealt = [], [], near_dedup.settle_runs, near_dedup._dealt
+    monkeypatch.setattr(near_dedup, "settle_runs", lambda base, runs, *more: (seen.append(runs.count()), settle(base, runs, *more))[1])
+    monkeypatch.setattr(near_dedup, "_dealt", lambda *args: (rounds.append(1), dealt(*args))[1])
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got, made = joined_rows(spark, "[run], [run], Inner", lambda: by_id(near_dedup.near_duplicates(frame), "n_shingles", "component_id"))
+    assert got == want and len({c for _, c in want.values()}) > 1
+    assert len(rounds) == 2 and 0 < made <= 2 * seen[0]
+
+
 @pytest.mark.parametrize("bound", [1_000_000, 3])
 def test_components(spark, bound):
     r = random.Random(3)
