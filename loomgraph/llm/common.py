@@ -6,7 +6,7 @@ import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,15 +76,54 @@ def pieces(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start, rows)
 
 
+def _met(df: DataFrame, column: str, ids: DataFrame, log_bits: int, how: str) -> tuple[DataFrame, Column, list[str]]:
+    """``df`` beside a bitmap of hashed ids, whether a row's bit is set, and the columns that came with it.
+
+    The bitmap has ``2**log_bits`` bits and is broadcast: at most ``2**log_bits / 64``
+    rows of two longs, whatever the input.
+    """
+    own = unused_prefix(df, "_map")
+    at, word, bits = own + "_at", own + "_word", own + "_bits"
+    place = lambda c: F.xxhash64(c.cast("bigint")).bitwiseAND(2**log_bits - 1)
+    bit = lambda c: c.bitwiseAND(63).cast("int")
+    words = ids.select(place(ids["id"]).alias(at)).select(F.shiftright(at, 6).alias(word), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit(F.col(at))).alias(bits))
+    words = words.groupBy(word).agg(F.bit_or(bits).alias(bits))
+    met = df.withColumn(at, place(df[column])).join(F.broadcast(words), F.shiftright(at, 6) == F.col(word), how)
+    return met, F.call_function("shiftright", F.col(bits), bit(F.col(at))).bitwiseAND(1) == 1, [at, word, bits]
+
+
 def maybe_in(df: DataFrame, column: str, ids: DataFrame, log_bits: int = 23) -> DataFrame:
     """Rows of ``df`` whose integer ``column`` may be among ``ids`` (column ``id``).
 
-    A bitmap of ``2**log_bits`` hashed ids is broadcast: at most ``2**log_bits / 64``
-    rows of two longs, whatever the input.  No row is lost; a fuller bitmap
-    only lets more rows through, so an exact join has to follow.
+    No row is lost; a fuller bitmap only lets more rows through, so an exact
+    join has to follow.
+    """
+    met, found, own = _met(df, column, ids, log_bits, "inner")
+    return met.where(found).drop(*own)
+
+
+def _matched(df: DataFrame, column: str, ids: DataFrame, log_bits: int, how: str) -> tuple[DataFrame, str]:
+    """The rows of ``maybe_in`` joined to the ids, and the name of the column with the id met.
+
+    ``ids`` are stored and distinct, so that no row is repeated; a semi- or
+    anti-join would be pushed below the bitmap.
     """
-    place = lambda c: F.xxhash64(c).bitwiseAND(2**log_bits - 1)
-    words = ids.select(F.shiftright(place("id"), 6).alias("_word"), F.expr("shiftleft(1L, cast(xxhash64(id) & 63 as int))").alias("_bits"))
-    words = words.groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
-    met = df.withColumn("_place", place(column)).withColumn("_word", F.shiftright("_place", 6)).join(F.broadcast(words), "_word")
-    return met.where(F.expr("(shiftright(_bits, cast(_place & 63 as int)) & 1) = 1")).select(*df.columns)
+    flag = unused_prefix(df, "_met") + "_id"
+    maybe, those = maybe_in(df, column, ids, log_bits), ids.select(F.col("id").alias(flag))
+    return maybe.join(those, maybe[column] == those[flag], how), flag
+
+
+def rows_in(df: DataFrame, column: str, ids: DataFrame, log_bits: int = 23) -> DataFrame:
+    """Rows of ``df`` whose integer ``column`` is among ``ids`` (column ``id``); only
+    rows that the bitmap lets through are shuffled."""
+    rows, flag = _matched(df, column, ids, log_bits, "inner")
+    return rows.drop(flag)
+
+
+def not_in(df: DataFrame, column: str, ids: DataFrame, log_bits: int = 23) -> DataFrame:
+    """Rows of ``df`` whose integer ``column`` is null or not among ``ids`` (column ``id``);
+    only rows that the bitmap lets through are shuffled."""
+    met, found, own = _met(df, column, ids, log_bits, "left")
+    clear = met.where(~F.coalesce(found, F.lit(False))).drop(*own)
+    rest, flag = _matched(df, column, ids, log_bits, "left")
+    return clear.union(rest.where(F.col(flag).isNull()).drop(flag))

@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_paths, id_and_text, maybe_in, pieces, range_count, whole_ids, write_scratch
+from .common import drop_paths, id_and_text, maybe_in, not_in, pieces, range_count, release, rows_in, whole_ids, write_scratch
 from .components import connected_components
 
 SHINGLE_WORDS = 5
@@ -434,8 +434,8 @@ def settle_runs(base: DataFrame, runs: DataFrame, tested: DataFrame, component:
     rows = _labelled(runs.join(mixed, "run"), component).withColumn("chosen", F.col("component") != F.col("largest"))
     rows, _ = write_scratch(rows.drop("largest"), "run-rows")
     ids = rows.select("id").distinct()
-    signed = maybe_in(base, "id", ids).join(ids, "id").select("id", "text").mapInArrow(_sets_and_sketches, "id bigint, set array<bigint>, sketch binary")
-    signed, _ = write_scratch(signed.dropDuplicates(["id"]), "run-sets")
+    signed = _texts_of(base, ids).mapInArrow(_sets_and_sketches, "id bigint, set array<bigint>, sketch binary")
+    signed, _ = write_scratch(signed, "run-sets")
     parts = range_count(signed, TREES * FINE // 4)
     found = _dealt(rows, signed.select("id", "sketch"), parts).mapInArrow(_cells(_Cell.best), "p bigint, r bigint, agree bigint, more boolean")
     best = found.groupBy("p").agg(F.sort_array(F.collect_set(F.struct((-F.col("agree")).alias("rank"), "r"))).alias("best"), F.max("more").alias("more"))
@@ -486,6 +486,13 @@ def _needed(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
 
 
+def _texts_of(base: DataFrame, ids: DataFrame) -> DataFrame:
+    """One (id, text) of each of the distinct ids; repeated ids go before the texts
+    become sets, which are larger."""
+    # an inner join adds no row here; a semi-join would be pushed below the bitmap
+    return maybe_in(base, "id", ids).join(ids, "id").select("id", "text").dropDuplicates(["id"])
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_percent: int = MIN_PERCENT) -> DataFrame:
     """id, n_shingles, component_id (least id of the component) and kept.
 
@@ -496,20 +503,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError(f"min_percent is {min_percent}; pairs below {MIN_PERCENT} are not searched")
     whole_ids(docs, id_col)
     base = id_and_text(docs, id_col, text_col).select(F.col("id").cast("bigint").alias("id"), "text")
-    signed, _ = write_scratch(base.mapInArrow(_sign, _SIGNED), "signatures")
+    spark = docs.sparkSession
+    wide, wide_path = write_scratch(base.mapInArrow(_sign, _SIGNED), "signatures")
+    signed, _ = write_scratch(wide.select("id", "n_shingles", "digest"), "digests")
     classes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("id").alias("node"))
-    nodes = signed.join(classes.select(F.col("node").alias("id")), "id", "left_semi").where("n_shingles > 0").select("id", "n_shingles", "sig", "sketch")
+    copies = signed.where("n_shingles > 0").select("id").join(classes.select(F.col("node").alias("id")), "id", "left_anti").distinct()
+    copies, _ = write_scratch(copies, "copies")
+    nodes = not_in(wide.where("n_shingles > 0").select("id", "n_shingles", "sig", "sketch"), "id", copies)
     pairs, runs = candidate_pairs(nodes)
     pairs, _ = write_scratch(pairs, "candidates")
-    needed = _needed(pairs)  # distinct, so an inner join adds no row; a semi-join would be pushed below the bitmap
-    sets, _ = write_scratch(maybe_in(base, "id", needed).join(needed, "id").select("id", "text").mapInArrow(_sets, "id bigint, set array<bigint>").dropDuplicates(["id"]), "shingle-sets")
+    drop_paths(spark, wide_path)
+    release(spark)
+    sets, sets_path = write_scratch(_texts_of(base, _needed(pairs)).mapInArrow(_sets, "id bigint, set array<bigint>"), "shingle-sets")
     first, _ = write_scratch(confirmed(pairs.where("first"), sets, min_percent), "links")
     joined = connected_components(first, stored=True)
     ca, cb = joined.select(F.col("id").alias("a"), F.col("component").alias("ca")), joined.select(F.col("id").alias("b"), F.col("component").alias("cb"))
     rest = pairs.where(~F.col("first")).join(ca, "a", "left").join(cb, "b", "left")
     rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    links = first.union(confirmed(rest, sets, min_percent))
-    component = settle_runs(base, runs, pairs.select("a", "b"), connected_components(links), min_percent)
+    release(spark)
+    component = connected_components(first.union(confirmed(rest, sets, min_percent)))
+    drop_paths(spark, sets_path)
+    release(spark)
+    component = settle_runs(base, runs, pairs.select("a", "b"), component, min_percent)
     of_class = classes.join(component, classes["node"] == component["id"], "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     of_class, _ = write_scratch(of_class, "classes")  # a stored side, so that a digest of very many rows can be split
     full = signed.where("n_shingles > 0").select("id", "n_shingles", "digest").join(of_class, "digest").select("id", "n_shingles", "component_id")
@@ -527,8 +542,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     Rows without id are compared with nothing and all stay.  Of rows that repeat
     a kept id and its text one stays; another text of that id stays too.
     """
-    kept = near_duplicates(docs.where(docs[id_col].isNotNull()), id_col, text_col, **options).where("kept").groupBy(id_col).agg(F.count("*").alias("_rows"))
-    kept, _ = write_scratch(kept, "kept")
-    once = docs.join(kept.where("_rows = 1"), id_col, "left_semi")
-    often = docs.join(kept.where("_rows > 1"), id_col, "left_semi").dropDuplicates([id_col, text_col])
-    return once.union(often).union(docs.where(docs[id_col].isNull()))
+    rows = near_duplicates(docs.where(docs[id_col].isNotNull()), id_col, text_col, **options)
+    rows = rows.groupBy(F.col(id_col).alias("id")).agg(F.count(F.when(F.col("kept"), 1)).alias("rows"))
+    # ids whose rows do not simply stay, which are few: other rows pass without a shuffle
+    marked, _ = write_scratch(rows.where("rows <> 1"), "not-once")
+    release(docs.sparkSession)
+    often = rows_in(docs, id_col, marked.where("rows > 1").select("id")).dropDuplicates([id_col, text_col])
+    return not_in(docs, id_col, marked.select("id")).union(often)

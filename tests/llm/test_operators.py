@@ -11,7 +11,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loomgraph.llm import bpe, components, decontaminate, html_text, near_dedup, quality, secrets, suffix_dedup, token_counts, toxicity, warc
+from loomgraph.llm import bpe, common, components, decontaminate, html_text, near_dedup, quality, secrets, suffix_dedup, token_counts, toxicity, warc
 from loomgraph.llm.common import scratch_path
 
 from . import brute
@@ -179,6 +179,47 @@ def test_keep_one_of_repeated_rows(spark):
     assert sorted(r["more"] for r in kept.collect()) == list("acdef") and kept.columns == ["doc_id", "text", "more"]
 
 
+def shuffled_bytes(spark, call):
+    """Bytes that the jobs of ``call`` write for shuffles, with no small-table joins."""
+    sc, group, limit = spark.sparkContext, f"measured-{random.random()}", "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    sc.setJobGroup(group, group)
+    try:
+        out = call()
+    finally:
+        spark.conf.set(limit, before)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        sc.setLocalProperty("spark.job.description", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    tracker, store = sc.statusTracker(), sc._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    return out, sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in stages)
+
+
+@pytest.mark.parametrize("kind", ["bigint", "int"])
+def test_keep_one_moves_few_rows(spark, kind):
+    """Rows that stay pass without a shuffle, whatever else they carry; what comes out is exact."""
+    r = random.Random(3)
+    rows = [(i, prose(100 + i, 40), r.randbytes(20_000), i) for i in range(200)]
+    rows += [(200 + i, rows[i][1], r.randbytes(20_000), i) for i in range(5)]  # copies
+    rows += [rows[7], rows[204], (None, rows[7][1], b"", 1), (None, None, b"", 2), (300, None, b"", 3), (300, "", b"", 4), (300, "", b"", 5)]
+    docs = spark.createDataFrame(rows, f"doc_id {kind}, text string, _map_word binary, _met_id int")
+    kept, moved = shuffled_bytes(spark, lambda: near_dedup.keep_one(docs).collect())
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in kept)
+    assert got == sorted([(False, i, rows[i][1]) for i in range(200)] + [(False, 300, "")] * 2 + [(True, 0, rows[7][1]), (True, 0, "")])
+    assert moved < 100 * 20_000
+
+
+def test_rows_in_and_not_in(spark):
+    """A bitmap that is all but full lets rows through and loses none."""
+    df = spark.createDataFrame([(i if i % 7 else None, i) for i in range(300)], "k int, _map_at int")
+    ids = spark.createDataFrame([(i,) for i in range(0, 400, 2)], "id bigint")
+    for bits in (6, 8, 23):
+        assert sorted(r[1] for r in common.rows_in(df, "k", ids, bits).collect()) == [i for i in range(300) if i % 7 and i % 2 == 0]
+        assert sorted(r[1] for r in common.not_in(df, "k", ids, bits).collect()) == [i for i in range(300) if i % 7 == 0 or i % 2]
+
+
 def test_near_duplicate_group(spark):
     """A large group of near copies hangs together, and a pair at the limit is found."""
     r = random.Random(5)
